@@ -25,6 +25,16 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import joined, scan
+
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.expr(f"cast(size(filter(base, x -> x.kind = {kind})) as bigint)")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans")
+    )
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -53,9 +63,57 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+_SECRETS = [
+    ("assign", 0, """[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"""),
+]
+_ASSIGN_RE = "(" + _SECRETS[0][2] + """)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _duck_spans(text: str, pattern: str, kind: str, keep: str, order: int) -> str:
+    """DuckDB SQL: rows (doc_id, kind, ord, s, e, m) of a pattern's matches."""
+    return f"""
+      SELECT doc_id, '{kind}' AS kind, {order} AS ord, s, s + len(m) AS e, m FROM (
+        SELECT doc_id, hits[i] AS m, CAST(list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: len(x))), 0) AS BIGINT) AS s
+        FROM (SELECT doc_id, hits, gaps, unnest(range(1, len(hits) + 1)) AS i
+              FROM (SELECT doc_id, regexp_extract_all({text}, '{pattern}') AS hits, regexp_split_to_array({text}, '{pattern}') AS gaps FROM documents WHERE regexp_matches({text}, '{pattern}')))
+      ) WHERE {keep}"""
+
+
+_DUCK_F = "list_sum(list_transform(list_distinct(win), lambda c: len(list_filter(win, lambda y: y = c)) * log2(len(list_filter(win, lambda y: y = c)))))"
+OP10_SQL = f"""
+WITH base AS (
+  {_duck_spans('text', _ASSIGN_RE, 'assign', "len(regexp_extract(m, '^" + _ASSIGN_RE + "$', 2)) >= 6", 0)}
+  UNION ALL {_duck_spans('text', 'AKIA[A-Z0-9]+', 'access', 'len(m) >= 20', 1)}
+  UNION ALL {_duck_spans('text', '[0-9a-f]{24,}', 'hex', 'true', 2)}
+),
+cand AS (
+  {_duck_spans('text', '[A-Za-z0-9+/_=-]{20,}', 'entropy', "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT regexp_matches(m, 'EXAMPLE|example|0123456789|abcdefghijkl|ABCDEFGHIJKL|placeholder|changeme')", 3)}
+),
+free AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s < c.e AND c.s < b.e)),
+wins AS (
+  SELECT doc_id, kind, ord, s, m, p, string_split(substring(m, p, 20), '') AS win
+  FROM (SELECT *, unnest(range(1, len(m) - 18)) AS p FROM free)
+),
+high AS (
+  SELECT doc_id, kind, ord, s, min(s + p - 1) AS s1, max(s + p + 19) AS e1 FROM wins
+  WHERE log2(20) - {_DUCK_F} / 20 >= CASE WHEN regexp_full_match(m, '[0-9a-fA-F]+') THEN 2.9 ELSE 3.6 END
+  GROUP BY ALL
+),
+spans AS (SELECT doc_id, kind, ord, s, e FROM base UNION ALL SELECT doc_id, kind, ord, s1, e1 FROM high),
+named AS (SELECT doc_id, kind, ord, s, concat(kind, ':', s, ':', e) AS t FROM spans)
+SELECT d.doc_id,
+  (SELECT count(*) FROM named n WHERE n.doc_id = d.doc_id AND ord = 0) AS n_assign,
+  (SELECT count(*) FROM named n WHERE n.doc_id = d.doc_id AND ord = 1) AS n_access,
+  (SELECT count(*) FROM named n WHERE n.doc_id = d.doc_id AND ord = 2) AS n_hex,
+  sha256(coalesce((SELECT string_agg(t, ',' ORDER BY s, ord) FROM named n WHERE n.doc_id = d.doc_id AND ord < 3), '')) AS base_sha256,
+  coalesce((SELECT string_agg(t, ',' ORDER BY s, ord) FROM named n WHERE n.doc_id = d.doc_id), '') AS spans
+FROM documents d
+"""
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": OP3_SQL}
+    return {"op3_benchmark_decontamination": OP3_SQL, "op10_secret_scan": OP10_SQL}
