@@ -1,2 +1,70 @@
-ORACLE_SQL=None
-def run(spark,d): raise NotImplementedError
+"""A corpus pipeline: language, near copies, benchmark passages, secrets, mixture.
+
+Every stage takes documents and returns documents of the same columns; the last adds the mixture's columns. A row
+is known by its id; rows that share an id (null included) share its fate.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphquarry.llm.common import new_folder
+from graphquarry.llm.decontaminate import contamination
+from graphquarry.llm.language import UNDETERMINED, identify
+from graphquarry.llm.mix import mixture
+from graphquarry.llm.near import near_duplicates
+from graphquarry.llm.secrets import redact
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that could be told."""
+    return identify(docs).where(F.col("lang_pred") != UNDETERMINED).drop("lang_pred", "score")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the least id."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no more of the benchmark than the contract allows."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark."""
+    return redact(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mixture takes, and how often: copies and words taken beside the documents' columns."""
+    return mixture(docs).where("copies > 0").select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("secrets", secrets),
+    ("mixing", mixing),
+]
+
+#: Language identification and near-duplicate search have no SQL twin; tests compare stages with plain versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        folder = new_folder(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)
