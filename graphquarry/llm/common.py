@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,3 +80,33 @@ def blocked(df: DataFrame, key: str, member: Column, limit: int) -> DataFrame:
         .withColumn("bj", F.greatest("block", "_other"))
         .drop("_n", "_other")
     )
+
+
+def mapped_folder(spark: SparkSession, name: str) -> str:
+    """A new folder, below the shared one, whose files every process may memory-map."""
+    folder = new_folder(spark, name)
+    if "://" in folder or folder.startswith("file:"):
+        scheme, rest = folder.split(":", 1)
+        if scheme != "file":
+            raise RuntimeError("memory-mapped tables need a spark.checkpoint.dir that is mounted as files")
+        folder = "/" + rest.lstrip("/")
+    os.makedirs(folder, exist_ok=True)
+    return folder
+
+
+_maps: dict[str, np.ndarray | None] = {}
+
+
+def mapped(path: str) -> np.ndarray | None:
+    """The memory-mapped array of a file, or None if there is none; kept for the life of the process."""
+    if path not in _maps:
+        _maps[path] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+    return _maps[path]
+
+
+def save(path: str, values: np.ndarray) -> None:
+    """Write an array so that readers see all of it or nothing; a task that runs again replaces its file by an equal one."""
+    part = f"{path}.{uuid.uuid4().hex}"
+    with open(part, "wb") as f:
+        np.save(f, values)
+    os.replace(part, path)
