@@ -2,7 +2,7 @@
 
 A document's set is its distinct k-word shingles (fewer words: the whole sequence as one). Documents of equal sets
 are one class from the start. Each class has a sketch: register i holds floor(1 - log_b of the least exponential
-value that hash i gives an element), truncated to a byte; registers of a union are the greater of two. Bands of
+value that hash i gives an element), truncated to two bytes; registers of a union are the greater of two. Bands of
 registers are the candidate search: documents that share a band meet in a bucket.
 
 In a bucket all compare with its least member first, on their full sets; one pass of that settles groups of copies
@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from .common import blocked, cut, small
 from .words import SPACED, U64, Words, grams, mix, slices, text_buffers
 
-BASE = 1.1
+#: So near 1 that registers of unrelated sets are seldom equal; two bytes hold them.
+BASE = 1.001
 REGISTERS, ROWS = 120, 3
-_OFFSET = 40  # registers of a single element may lie below 0
+_OFFSET = 4096  # registers of a single element may lie below 0
 _CHUNK = 1 << 19
 _BLOCK = 512
 _SKETCH = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.binary())])
@@ -63,14 +64,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
 
 def sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Registers of sets, none of them empty: one row of bytes each."""
-    out = np.empty((len(first) - 1, REGISTERS), np.uint8)
+    out = np.empty((len(first) - 1, REGISTERS), np.uint16)
     for i in range(REGISTERS):
         h = (values ^ _SEEDS[i]) * _FACTORS[i]
         h ^= h >> U64(32)
         h *= U64(0xD6E8FEB86659FD93)
         least = np.minimum.reduceat(h, first[:-1])
         exponential = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64 * (1 - 2.0**-53))
-        out[:, i] = np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)) + _OFFSET, 0, 255)
+        out[:, i] = np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)) + _OFFSET, 0, 65535)
     return out
 
 
@@ -145,7 +146,7 @@ def _near_pairs(floor):
     def pairs(rows: pa.Table) -> pa.Table:
         ids, label, block = (rows.column(c).to_numpy() for c in ("id", "label", "block"))
         n = rows.column("n").to_numpy().astype(float)
-        regs = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        regs = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         bi, bj = rows.column("bi")[0].as_py(), rows.column("bj")[0].as_py()
         left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
         out_a, out_b = [], []
@@ -166,7 +167,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     d = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     rows = cut(d.mapInArrow(_sketch_rows(k), "id long, n long, s1 long, s2 long, sketch binary"))
     classes = cut(rows.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")))
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * ROWS + 1, ROWS)) for i in range(REGISTERS // ROWS)])
+    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * ROWS * 2 + 1, ROWS * 2)) for i in range(REGISTERS // ROWS)])
     spread = classes.select("id", F.explode(bands).alias("bucket"))
     pivots = cut(spread.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1"))
     met = cut(spread.join(small(pivots.select("bucket", "pivot")), "bucket").where("id <> pivot"))
