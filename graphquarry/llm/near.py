@@ -8,13 +8,13 @@ registers are the candidate search: documents that share a band meet in a bucket
 In a bucket all compare with its least member first, on their full sets; one pass of that settles groups of copies
 of any size with one link for each member. Where members of a bucket are still in different components, its rows
 are dealt into blocks, each pair of blocks meets in one task, similarity is estimated from both sketches by maximum
-likelihood, and pairs across components that come near the threshold are confirmed on full sets as well. Links are
-merged by passing on the least id.
+likelihood, and pairs across components that come near the threshold are confirmed there on full sets; a pair whose
+components were joined meanwhile needs no link. Links are merged by passing on the least id.
 
 With bands of 3 of 120 registers a pair at the threshold of 0.75 is missed with a probability below 1e-9.
 
-Defined cases: null texts and texts without words have an empty set, link with nothing and are kept. Rows that
-repeat an id are each other's equals if their sets are; every row is returned. An empty table gives no rows.
+Defined cases: null texts and texts without words have an empty set, link with nothing and are kept. An id is taken
+to name one text; rows that repeat both are equal, and every row is returned. Rows without id link with nothing. An empty table gives no rows.
 Columns other than id and text are ignored.
 """
 
@@ -33,7 +33,7 @@ BASE = 1.001
 REGISTERS, ROWS = 120, 3
 _OFFSET = 4096  # registers of a single element may lie below 0
 _CHUNK = 1 << 19
-_BLOCK = 512
+_BLOCK = 2048
 _SKETCH = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.binary())])
 _rng = np.random.default_rng(7)
 _SEEDS = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
@@ -142,24 +142,39 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
             return labels.select(F.col("a").alias("id"), F.col("l").alias("component"))
 
 
-def _near_pairs(floor):
-    def pairs(rows: pa.Table) -> pa.Table:
+def _links(k: int, num: int, den: int):
+    """Links between the components in a pair of blocks: as many as join those that belong together, no more."""
+    floor, share = num / den - 0.2, num / den
+
+    def links(rows: pa.Table) -> pa.Table:
         ids, label, block = (rows.column(c).to_numpy() for c in ("id", "label", "block"))
+        label = label.copy()
         n = rows.column("n").to_numpy().astype(float)
         regs = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        value, first = shingle_sets(*text_buffers(rows.column("text").combine_chunks()), k)
         bi, bj = rows.column("bi")[0].as_py(), rows.column("bj")[0].as_py()
         left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
-        out_a, out_b = [], []
+        out = []
         for x in left:
-            y = right[(label[right] != label[x]) & (ids[right] > ids[x] if bi == bj else True)]
-            if len(y):
-                y = y[estimate(np.broadcast_to(regs[x], (len(y), REGISTERS)), regs[y], np.full(len(y), n[x]), n[y]) >= floor]
-                out_a.append(np.full(len(y), ids[x]))
-                out_b.append(ids[y])
-        cat = lambda p: np.concatenate([np.zeros(0, np.int64), *p])
-        return pa.table({"a": pa.array(cat(out_a), pa.int64()), "b": pa.array(cat(out_b), pa.int64())})
-
-    return pairs
+            y = right[(label[right] != label[x]) & (np.minimum(n[right], n[x]) >= share * np.maximum(n[right], n[x]))]
+            if bi == bj:
+                y = y[ids[y] > ids[x]]
+            y = y[(regs[y] == regs[x]).sum(axis=1) >= (floor - 0.1) * REGISTERS]
+            if not len(y):
+                continue
+            guess = estimate(np.broadcast_to(regs[x], (len(y), REGISTERS)), regs[y], np.full(len(y), n[x]), n[y])
+            mine = value[first[x] : first[x + 1]]
+            for z in y[np.argsort(-guess)][: int((guess >= floor).sum())]:
+                if label[z] == label[x]:
+                    continue
+                other = value[first[z] : first[z + 1]]
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                if den * both >= num * (len(mine) + len(other) - both):
+                    out.append((ids[x], ids[z]))
+                    label[label == label[z]] = label[x]
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -172,12 +187,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     pivots = cut(spread.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1"))
     met = cut(spread.join(small(pivots.select("bucket", "pivot")), "bucket").where("id <> pivot"))
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return cut(d.join(small(cut(ids.distinct())), "id").groupBy("id").agg(F.min("text").alias("text")))
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs.distinct())
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        # an id that stands for several rows stands for the row whose set is its class's
-        texts = d.join(small(cut(wanted)), "id").groupBy("id").agg(F.min("text").alias("text"))
-        texts = cut(texts)
+        texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
         joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b")
         return joined.mapInArrow(_confirm(k, num, den), "a long, b long")
 
@@ -186,9 +201,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     named = met.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
     open_ = cut(named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"))
     if not open_.isEmpty():
-        left = named.join(small(open_), "bucket").join(classes.select("id", "n", "sketch"), "id")
-        pairs = blocked(left, "bucket", F.col("id"), _BLOCK).groupBy("bucket", "bi", "bj").applyInArrow(_near_pairs(num / den - 0.2), "a long, b long")
-        labels = components(cut(edges.union(confirmed(pairs))))
+        left = cut(named.join(small(open_), "bucket"))
+        left = left.join(classes.select("id", "n", "sketch"), "id").join(texts_of(left.select("id")), "id")
+        more = blocked(left, "bucket", F.col("id"), _BLOCK).groupBy("bucket", "bi", "bj").applyInArrow(_links(k, num, den), "a long, b long")
+        labels = components(cut(edges.union(more)))
     member = classes.join(labels, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
     return rows.join(member, ["n", "s1", "s2"], "left").select(
         F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept")
