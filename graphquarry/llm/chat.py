@@ -73,15 +73,10 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         left = state.count() if left < 0 else left
         jumps.append(state.where("anc is not null").select("conv", "id", "anc"))
         far = state.select("conv", F.col("id").alias("anc"), F.col("anc").alias("f_anc"), F.col("sum").alias("f_sum"), F.col("depth").alias("f_depth"), F.col("root").alias("f_root"))
-        joined = state.join(far, ["conv", "anc"], "left")
-        hop = F.col("anc").isNotNull()
-        # an ancestor's sum covers the ancestor itself up to below its own ancestor
-        state = cut(
-            joined.select(
-                "conv", "id", F.when(hop, F.col("f_anc")).alias("anc"), F.when(hop, F.col("sum") + F.col("f_sum")).otherwise(F.col("sum")).alias("sum"),
-                F.when(hop, F.col("depth") + F.col("f_depth")).otherwise(F.col("depth")).alias("depth"), F.when(hop, F.col("f_root")).otherwise(F.col("root")).alias("root"),
-            )
-        )
+        # only messages that have not reached their root go on; an ancestor's sum covers the ancestor up to below its own
+        hopped = state.where("anc is not null").join(far, ["conv", "anc"])
+        hopped = hopped.select("conv", "id", F.col("f_anc").alias("anc"), (F.col("sum") + F.col("f_sum")).alias("sum"), (F.col("depth") + F.col("f_depth")).alias("depth"), F.col("f_root").alias("root"))
+        state = cut(state.where("anc is null").select("conv", "id", "anc", "sum", "depth", "root").union(hopped))
     parents = messages.select("conv", F.col("parent").alias("id")).where("id is not null").distinct()
     leaves = state.where("root is not null").join(parents, ["conv", "id"], "left_anti")
     if branches == 1:
