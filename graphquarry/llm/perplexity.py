@@ -1,9 +1,11 @@
 """Language-model scores: an interpolated modified Kneser-Ney bigram model, counted in Spark.
 
-Tokens are words, then one end; a begin mark stands before each text. Workers count bigrams of whole texts per
-batch, Spark adds them up, and from the sums come the contexts' totals and the words' continuation counts. Both
-tables are written as sorted arrays of 64-bit hashes, in shards by leading bits, to the shared folder; scoring
-workers memory-map the shards and look words up by binary search. Nothing but a dozen totals reaches the driver.
+Tokens are words, then one end; a begin mark stands before each text. Workers count bigrams of whole texts and send
+them on by leading bits of the bigram's hash, packed by shard, so that no word or bigram, however common, makes a
+shard large; the number of shards follows the size of the text. Whoever gets a shard adds its counts up, writes them
+as a sorted array of 64-bit hashes to the shared folder, and passes on the words' and contexts' sums, which Spark
+adds up and writes likewise. Scoring workers memory-map the shards and look words up by binary search. Nothing but
+a dozen totals reaches the driver. A task that runs again writes the same files again.
 
 Defined cases: null text is empty and scores its end token; texts that were not learned from are scored alike; if
 nothing was learned, all words are unknown and every token scores log10(1). Rows are scored one by one, so repeats
@@ -22,8 +24,12 @@ from .words import SPACED, U64, Words, mix, slices, text_buffers
 
 BEGIN, END = U64(0x0123456789ABCDEF), U64(0xFEDCBA9876543210)
 SHARD_ROWS = 1 << 21
+SHARD_BYTES = 12 << 20
+_HELD = 1 << 22
 _CHUNK = 4 << 20
 _WORDS = ("hash", "c", "cont", "total", "n1", "n2", "n3")
+#: What a shard of bigrams passes on: the saved columns, and how many of a context's bigrams have count 3 and 4.
+_SUMS = (*_WORDS, "x3", "x4")
 
 
 def _tokens(data, offsets):
@@ -42,16 +48,102 @@ def _tokens(data, offsets):
     return previous, token, first
 
 
+_CONTEXT = U64(0xD6E8FEB86659FD93)
+
+
 def _pair(previous, token):
-    return mix(previous * U64(0xD6E8FEB86659FD93) + token)
+    """Hashes of bigrams; with the context's hash, the token's can be had back."""
+    return previous * _CONTEXT + token
+
+
+def _merge(held):
+    """One (keys, contexts, counts) of many; keys sorted, each once."""
+    key, previous, n = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[starts], previous[order][starts], np.add.reduceat(n[order], starts)
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest unsigned type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max())))
+
 
+def _packed(held, bits: int) -> pa.RecordBatch:
+    """A row for each shard: keys, the distinct contexts, the context of each key, counts."""
+    key, previous, n = _merge(held)
+    shard = (key >> U64(64 - bits)).astype(np.int32) if bits else np.zeros(len(key), np.int32)
+    starts = np.flatnonzero(np.diff(shard, prepend=-1))
+    rows = []
+    for a, b in zip(starts, [*starts[1:], len(key)]):
+        contexts, of = np.unique(previous[a:b], return_inverse=True)
+        of, counts = _narrow(of), _narrow(n[a:b])
+        rows.append((int(shard[a]), key[a:b].tobytes(), contexts.tobytes(), of.tobytes(), of.itemsize, counts.tobytes(), counts.itemsize))
+    return pa.RecordBatch.from_pylist([dict(zip(_PACK.names, r)) for r in rows], schema=_PACK)
 
-def _count(batches):
-    for batch in batches:
-        for part in slices(batch, "text", _CHUNK):
-            previous, token, _ = _tokens(*text_buffers(part.column(0)))
-            key, at, n = np.unique(_pair(previous, token), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, previous[at], token[at], n.astype(np.int64))], names=["key", "prev", "tok", "c"])
+
+_PACK = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("contexts", pa.binary()), ("of", pa.binary()), ("of_width", pa.int32()), ("n", pa.binary()), ("n_width", pa.int32())])
+
+
+def _count(bits: int):
+    def rows(batches):
+        held, size = [], 0
+        for batch in batches:
+            for part in slices(batch, "text", _CHUNK):
+                previous, token, _ = _tokens(*text_buffers(part.column(0)))
+                key, at, n = np.unique(_pair(previous, token), return_index=True, return_counts=True)
+                held.append((key, previous[at], n))
+                size += len(key)
+                if size >= _HELD:
+                    yield _packed(held, bits)
+                    held, size = [], 0
+        if size:
+            yield _packed(held, bits)
+
+    return rows
+
+
+def _add_up(folder: str):
+    """From packed rows in order of shard: write each shard, and pass on the sums of its words and contexts."""
+
+    def finish(shard, held):
+        key, previous, n = _merge(held)
+        save(f"{folder}/pairs-key-{shard}.npy", key)
+        save(f"{folder}/pairs-c-{shard}.npy", _narrow(n))
+        out = []
+        for of, masks in (
+            (key - previous * _CONTEXT, {"c": n, "cont": np.ones_like(n)}),
+            (previous, {"total": n, "n1": n == 1, "n2": n == 2, "n3": n >= 3, "x3": n == 3, "x4": n == 4}),
+        ):
+            order = np.argsort(of, kind="stable")
+            of = of[order]
+            starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            sums = {name: np.add.reduceat(m[order].astype(np.int64), starts) for name, m in masks.items()}
+            none = np.zeros(len(starts), np.int64)
+            out.append(pa.RecordBatch.from_arrays([pa.array(of[starts].view(np.int64)), *[pa.array(sums.get(x, none)) for x in _SUMS[1:]]], names=_SUMS))
+        return out
+
+    def rows(batches):
+        held, size, at = [], 0, None
+        for batch in batches:
+            for r in range(len(batch)):
+                get = lambda name: batch.column(name)[r].as_py()  # noqa: E731, B023
+                if get("shard") != at and held:
+                    yield from finish(at, held)
+                    held, size = [], 0
+                at = get("shard")
+                keys, contexts = np.frombuffer(get("keys"), U64), np.frombuffer(get("contexts"), U64)
+                of, n = (np.frombuffer(get(x), f"u{get(x + '_width')}") for x in ("of", "n"))
+                held.append((keys, contexts[of], n.astype(np.int64)))
+                size += len(keys)
+                if size > _HELD:
+                    held = [_merge(held)]
+                    size = len(held[0][0]) // 2
+        if held:
+            yield from finish(at, held)
+
+    return rows
 
 
 def _write(df: DataFrame, key: str, names, folder: str, table: str, rows: int) -> int:
@@ -64,7 +156,7 @@ def _write(df: DataFrame, key: str, names, folder: str, table: str, rows: int) -
         keys = part.column(key).to_numpy().view(U64)
         order = np.argsort(keys)
         for name in names:
-            save(f"{folder}/{table}-{name}-{number}.npy", part.column(name).to_numpy()[order] if name != key else keys[order])
+            save(f"{folder}/{table}-{name}-{number}.npy", _narrow(part.column(name).to_numpy()[order]) if name != key else keys[order])
         return pa.table({"shard": pa.array([number], pa.int32())})
 
     df.withColumn("_shard", shard).groupBy("_shard").applyInArrow(put, "shard int").count()
@@ -102,16 +194,17 @@ def _of_counts(df: DataFrame, c: str):
 
 def score(docs: DataFrame, learn: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of `docs`: id, n_tokens, n_known, train_tokens, base_score, score (log10), perplexity."""
-    pairs = cut(learn.select(F.col(text).alias("text")).mapInArrow(_count, "key long, prev long, tok long, c long").groupBy("key").agg(F.first("prev").alias("prev"), F.first("tok").alias("tok"), F.sum("c").alias("c")))
-    as_word = pairs.select(F.col("tok").alias("hash"), "c", F.lit(1).alias("cont"), *[F.lit(0).alias(x) for x in _WORDS[3:]])
-    as_context = pairs.select(F.col("prev").alias("hash"), F.lit(0).alias("c"), F.lit(0).alias("cont"), F.col("c").alias("total"), *[w.cast("int").alias(x) for w, x in ((F.col("c") == 1, "n1"), (F.col("c") == 2, "n2"), (F.col("c") >= 3, "n3"))])
-    words = cut(as_word.union(as_context).groupBy("hash").agg(*[F.sum(x).cast("long").alias(x) for x in _WORDS[1:]]))
-    two, one = _of_counts(pairs, "c"), _of_counts(words.where("c > 0"), "cont")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    folder = mapped_folder(docs.sparkSession, "ngrams")
-    pair_bits = _write(pairs.select("key", "c"), "key", ("key", "c"), folder, "pairs", two["rows"])
-    word_bits = _write(words, "hash", _WORDS, folder, "words", one["rows"])
-    d2, d1 = np.array(_discounts(list(two[:4]))), np.array(_discounts(list(one[:4])))
+    spark = docs.sparkSession
+    folder = mapped_folder(spark, "ngrams")
+    size = learn.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    pair_bits = (size // SHARD_BYTES).bit_length()
+    packed = learn.select(F.col(text).alias("text")).mapInArrow(_count(pair_bits), "shard int, keys binary, contexts binary, of binary, of_width int, n binary, n_width int")
+    sums = packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_add_up(folder), ", ".join(f"{x} long" for x in _SUMS))
+    words = cut(sums.groupBy("hash").agg(*[F.sum(x).alias(x) for x in _SUMS[1:]]))
+    all_of = words.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("n1", "n2", "x3", "x4", "c")], F.count(F.lit(1))).first()
+    two, total, one = list(all_of[:4]), all_of[4], _of_counts(words.where("c > 0"), "cont")
+    word_bits = _write(words.select(*_WORDS), "hash", _WORDS, folder, "words", all_of[5])
+    d2, d1 = np.array(_discounts(two)), np.array(_discounts(list(one[:4])))
     types, known_words = one["sum"], one["rows"]
     spare = (d1[1] * one["n1"] + d1[2] * one["n2"] + d1[3] * one["more"]) / types if types else 1.0
 
