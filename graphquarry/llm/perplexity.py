@@ -57,8 +57,10 @@ def _pair(previous, token):
 
 
 def _merge(held):
-    """One (keys, contexts, counts) of many; keys sorted, each once."""
-    key, previous, n = (np.concatenate(x) for x in zip(*held))
+    """One (keys, contexts, counts) of many, which are let go; keys sorted, each once."""
+    columns = [list(x) for x in zip(*held)]
+    held.clear()
+    key, previous, n = (np.concatenate(columns.pop(0)) for _ in range(3))
     order = np.argsort(key, kind="stable")
     key = key[order]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
