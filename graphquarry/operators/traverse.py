@@ -37,6 +37,22 @@ def reach(seeds: DataFrame, edges: DataFrame, depth: int, *, inward: bool = Fals
     return seen
 
 
+def reach_each(starts: DataFrame, edges: DataFrame, depth: int, *, inward: bool = False, both: bool = False) -> DataFrame:
+    """(origin, key, distance): what each of `starts` (origin, key) reaches, as `reach` does for all seeds together."""
+    out, back = edges.select("src", "dst"), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    steps = (out.union(back) if both else back if inward else out).where("src is not null and dst is not null").distinct()
+    seen = cut(starts.select("origin", "key").where("key is not null").distinct().withColumn("distance", F.lit(0)))
+    frontier = seen
+    for level in range(1, depth + 1):
+        met = frontier.select("origin", F.col("key").alias("src")).join(steps, "src").select("origin", F.col("dst").alias("key")).distinct()
+        known = seen.select(F.col("origin").alias("_origin"), F.col("key").alias("_key"))
+        frontier = cut(met.join(known, F.col("origin").eqNullSafe(F.col("_origin")) & (F.col("key") == F.col("_key")), "left_anti").withColumn("distance", F.lit(level)))
+        if frontier.isEmpty():
+            break
+        seen = seen.union(frontier)
+    return seen
+
+
 def ends_of_paths(starts: DataFrame, edges: DataFrame, least: int, most: int) -> DataFrame:
     """Distinct (origin, key): `key` lies at the end of a walk of `least` to `most` steps from `starts` (origin, key)."""
     steps = edges.select("src", "dst").distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import task_terms
 from ..operators.edges import delta, intact, merge_sites
-from ..operators.traverse import ends_of_paths, reach
+from ..operators.traverse import ends_of_paths, reach, reach_each
 
 QUANTITY, MODEL, SEED = 48, 7, 1
 
@@ -74,6 +74,17 @@ def neighbourhood(spark, d):
     return reach(g.functions().where(F.col("key") % 97 == SEED).select("key"), g.calls(), 2, both=True)
 
 
+def callers_of_all(spark, d):
+    """Who calls each function, by 1 to 4 calls; the function itself at 0."""
+    g = Graph(spark, d)
+    return reach_each(g.functions().select(F.col("key").alias("origin"), "key"), g.calls(), 4, inward=True)
+
+
+def neighbourhood_of_all(spark, d):
+    g = Graph(spark, d)
+    return reach_each(g.functions().select(F.col("key").alias("origin"), "key"), g.calls(), 2, both=True)
+
+
 def direct_touchers(spark, d):
     g = Graph(spark, d)
     return g.touches().where(F.col("dst") == MODEL).join(g.functions(), F.col("src") == F.col("key")).select("key", "name", "file", "write")
@@ -106,7 +117,7 @@ def prompt_terms(spark, d):
     return Graph(spark, d).read("benchmark").select("item_id", F.explode(task_terms(F.col("text"))).alias("term"))
 
 
-QUERIES = {f.__name__: f for f in (call_edges, touch_edges, label_counts, intact_calls, callers, neighbourhood, direct_touchers, route_to_model, hubs, touch_delta, prompt_terms)}
+QUERIES = {f.__name__: f for f in (call_edges, touch_edges, label_counts, intact_calls, callers, neighbourhood, callers_of_all, neighbourhood_of_all, direct_touchers, route_to_model, hubs, touch_delta, prompt_terms)}
 
 _GRAPH = f"""
 functions AS (SELECT p_partkey AS key, p_name AS name, p_brand AS file, p_size % 2 = 0 AS exported FROM part),
@@ -128,6 +139,14 @@ def _reach_sql(depth: int, steps: str) -> str:
     ) SELECT key, min(distance) AS distance FROM walk GROUP BY key"""
 
 
+def _reach_each_sql(depth: int, steps: str) -> str:
+    return f"""WITH RECURSIVE {_GRAPH}, steps AS ({steps}),
+    walk(origin, key, distance) AS (
+      SELECT key, key, 0 FROM functions
+      UNION SELECT w.origin, s.dst, w.distance + 1 FROM walk w JOIN steps s ON s.src = w.key WHERE w.distance < {depth}
+    ) SELECT origin, key, min(distance) AS distance FROM walk GROUP BY origin, key"""
+
+
 _INWARD = "SELECT dst AS src, src AS dst FROM calls"
 SQL = {
     "call_edges": f"WITH {_GRAPH} SELECT * FROM calls",
@@ -136,6 +155,8 @@ SQL = {
     "intact_calls": f"WITH {_GRAPH} SELECT src, dst FROM calls WHERE src IN (SELECT key FROM functions WHERE exported) AND dst IN (SELECT key FROM functions WHERE exported)",
     "callers": _reach_sql(4, _INWARD),
     "neighbourhood": _reach_sql(2, f"SELECT src, dst FROM calls UNION {_INWARD}"),
+    "callers_of_all": _reach_each_sql(4, _INWARD),
+    "neighbourhood_of_all": _reach_each_sql(2, f"SELECT src, dst FROM calls UNION {_INWARD}"),
     "direct_touchers": f"WITH {_GRAPH} SELECT key, name, file, write FROM touches JOIN functions ON src = key WHERE dst = {MODEL}",
     "route_to_model": f"""WITH RECURSIVE {_GRAPH}, walk(handler, key, n) AS (
       SELECT DISTINCT handler, handler, 0 FROM handled_by

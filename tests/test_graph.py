@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from graphquarry.functions.text import matches, own_name, task_terms
 from graphquarry.operators.edges import delta, merge_sites
-from graphquarry.operators.traverse import reach
+from graphquarry.operators.traverse import reach, reach_each
 from graphquarry.plans import testgraph
 
 
@@ -27,3 +27,13 @@ def test_terms(spark):
     row = df.select(task_terms(df.t).alias("terms"), own_name(df.n).alias("own"), *[matches(F.lit(t), df.n).alias(t) for t in ("vendor", "creating", "vended")]).first()
     assert row.terms == ["fix", "create", "vendor", "createvendor", "src", "lib", "billing"]
     assert (row.own, row.vendor, row.creating, row.vended) == ("create", True, True, True)
+
+
+def test_every_function_has_its_own_walk(spark, sf_dir):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "c")], "src string, dst string")
+    starts = spark.createDataFrame([(k, k) for k in "abcd"], "origin string, key string")
+    callers = {tuple(r) for r in reach_each(starts, edges, 2, inward=True).collect()}
+    assert callers == {(k, k, 0) for k in "abcd"} | {("b", "a", 1), ("b", "c", 2), ("c", "b", 1), ("c", "d", 1), ("c", "a", 2), ("a", "c", 1), ("a", "b", 2), ("a", "d", 2)}
+    keys = {r.key for r in testgraph.Graph(spark, sf_dir).functions().collect()}
+    for query in (testgraph.QUERIES["callers_of_all"], testgraph.QUERIES["neighbourhood_of_all"]):
+        assert {r.origin for r in query(spark, sf_dir).collect()} == keys
