@@ -3,9 +3,9 @@
 Three fixed patterns give the base spans. Beside them, candidate strings (runs of token characters that hold both
 letters and digits) are scanned by a sliding window whose Shannon entropy is kept by incremental counts: as the
 window moves on, the count of one character falls and of another rises, and the sum of c * log2(c) changes by
-those two terms only. A candidate of one character class (hex, or mixed) is reported from the first to the last
-window whose entropy reaches the class's threshold, unless an allow-list entry occurs in it or a base span
-overlaps it.
+those two terms only. Base spans cut a run; what remains of it, between them, are candidates of their own. Windows
+that touch an allow-list entry do not count: entries cut a candidate in turn, into pieces. A piece of one character
+class (hex, or mixed) is reported from the first to the last window whose entropy reaches the class's threshold.
 
 Positions count code points; ends are exclusive. Defined cases: null and empty texts have no spans; rows are
 treated one by one, so ties and repeats do not matter; only the id and text columns are read.
@@ -51,6 +51,23 @@ def _located(text: str, pattern: str, kind: int, group: int = 0) -> str:
         a -> a.found)"""
 
 
+def _outside(x: str, spans: str) -> str:
+    """SQL: the parts of a located match `x` outside `spans` (in order of start) that a window fits in."""
+    part = lambda start, end: f"if({end} - {start} >= {WINDOW}, array(named_struct('start', {start}, 'kind', 3, 'end', {end}, 'm', substring({x}.m, {start} - {x}.start + 1, {end} - {start}))), {_EMPTY})"
+    return f"""aggregate({spans}, named_struct('at', {x}.start, 'parts', {_EMPTY}),
+        (a, b) -> named_struct('at', greatest(a.at, b.end), 'parts', concat(a.parts, {part('a.at', 'b.start')})),
+        a -> concat(a.parts, {part('a.at', f'{x}.end')}))"""
+
+
+def _allowed(x: str) -> str:
+    """SQL: places of the allow-list entries in a located match `x`, overlapping ones too."""
+    entry = "|".join(ALLOW)
+    return f"""aggregate(split({x}.m, '(?={entry})', -1), named_struct('at', {x}.start, 'found', {_EMPTY}),
+        (a, s) -> named_struct('at', a.at + length(s), 'found', if(substring({x}.m, a.at - {x}.start + 1) rlike '^({entry})',
+            concat(a.found, array(named_struct('start', a.at, 'kind', 3, 'end', a.at + length(regexp_extract(substring({x}.m, a.at - {x}.start + 1), '^({entry})', 0)), 'm', ''))), a.found)),
+        a -> a.found)"""
+
+
 def _windows(string: str) -> str:
     """SQL: the first and last place (exclusive) that windows of high entropy cover in a candidate; -1 if none does."""
     w = WINDOW
@@ -86,8 +103,11 @@ def secret_spans(text: Column | str = "text") -> dict[str, Column]:
     base = f"transform(array_sort(concat({assign}, {access}, {found})), x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end))"
     run = f"(?<![A-Za-z0-9+/_=-]){CANDIDATE}"
     allowed = " or ".join(f"contains(x.m, '{a}')" for a in ALLOW)
-    candidates = f"""case when {t} rlike '[0-9]' then filter({_located(t, run, 3)}, x ->
-        x.m rlike '[0-9]' and x.m rlike '[A-Za-z]' and not ({allowed}) and not exists(base, b -> b.start < x.end and x.start < b.end)) else {_EMPTY} end"""
+    runs = f"case when {t} rlike '[0-9]' then filter({_located(t, run, 3)}, x -> x.m rlike '[0-9]' and x.m rlike '[A-Za-z]') else {_EMPTY} end"
+    touches = "b.start < x.end and x.start < b.end"
+    parts = f"flatten(transform({runs}, x -> if(exists(base, b -> {touches}), {_outside('x', f'filter(base, b -> {touches})')}, array(x))))"
+    candidates = f"filter({parts}, x -> x.m rlike '[0-9]' and x.m rlike '[A-Za-z]')"
+    candidates = f"flatten(transform({candidates}, x -> if({allowed}, {_outside('x', _allowed('x'))}, array(x))))"
     added = f"""transform(filter(transform({candidates}, x -> named_struct('x', x, 'w', {_windows('x.m')})), y -> y.w.last > 0),
         y -> named_struct('start', y.x.start + y.w.first, 'kind', 3, 'end', y.x.start + y.w.last))"""
     none = "cast(array() as array<struct<start:int,kind:int,end:int>>)"
