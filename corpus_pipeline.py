@@ -1,7 +1,8 @@
 """A corpus pipeline: language, near copies, benchmark passages, secrets, mixture.
 
 Every stage takes documents and returns documents of the same columns; the last adds the mixture's columns. A row
-is known by its id; rows that share an id (null included) share its fate.
+is judged by its own text, whatever its id: stages that drop rows number them first. Of near copies, and of rows that
+repeat both id and text, that of the least id stays (one without id only where none has an id).
 """
 
 from __future__ import annotations
@@ -21,22 +22,34 @@ from graphquarry.llm.secrets import redact
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _numbered(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """`docs` with a number for each row in `_row`, written once so that every reader sees the same numbers."""
+    folder = new_folder(spark, name)
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that could be told."""
     return identify(docs).where(F.col("lang_pred") != UNDETERMINED).drop("lang_pred", "score")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the least id."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    """One document of each group of near copies: that of the least id. Texts without words are copies only of equal rows."""
+    rows = _numbered(spark, docs, "near-rows")
+    found = near_duplicates(rows, doc_id="_row").select("_row", F.col("n_shingles") > 0, "component_id").toDF("_row", "words", "component")
+    wordless = F.when(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.col("text")).alias("text")
+    groups = rows.select("_row", "doc_id", wordless).join(found, "_row").groupBy("words", F.when(F.col("words"), F.col("component")), F.when(~F.col("words"), F.col("doc_id")), "text")
+    kept = groups.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("least")).select("least._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no more of the benchmark than the contract allows."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    rows = _numbered(spark, docs, "decontaminate-rows")
+    bad = contamination(rows, items, doc_id="_row").where("contaminated").select("_row")
+    return rows.join(bad, "_row", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +70,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("mixing", mixing),
 ]
 
-#: Language identification and near-duplicate search have no SQL twin; tests compare stages with plain versions.
+#: Language identification and near-duplicate search have no SQL twin; tests/llm/test_pipeline.py compares the rows with plain versions.
 ORACLE_SQL = None
 
 
