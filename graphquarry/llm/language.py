@@ -6,7 +6,8 @@ byte wins. Texts are lower-cased and runs of anything but letters become one spa
 pieces of `PIECE` bytes side by side, so that a step of the automaton is one gather over many pieces.
 
 The sample is bounded: about `docs_per_lang` documents of each language, picked by a hash of the id, and at most
-`bytes_per_lang` bytes. The bound only limits training.
+`bytes_per_lang` bytes. Each picked document gives one piece, from a hashed place in it, of at most `piece_bytes`
+bytes: by default as many as let the pieces of all picked documents fit. The bound only limits training.
 
 Defined cases: null texts and texts without a letter are `und` with score 0, as is every text if nothing was
 learned. Ties go to the language that sorts first. Rows are treated one by one, so repeats do not matter; an empty
@@ -107,18 +108,39 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, *, doc_id: str, text: str, lang: str, docs_per_lang: int, bytes_per_lang: int) -> Model:
+def sample(texts: list[tuple[bytes, int]], most: int, piece: int | None = None) -> bytes:
+    """A piece of each (text, place), joined by spaces, in at most `most` bytes; `piece` is the longest piece's length.
+
+    By default that length is the greatest with which the pieces of all texts fit.
+    """
+    texts = [(t, place) for t, place in texts if t]
+    if piece is None:
+        piece, room = 1, most - max(len(texts) - 1, 0)
+        for left, size in zip(range(len(texts), 0, -1), sorted(len(t) for t, _ in texts)):
+            piece = max(room // left, 1)
+            if size > piece:
+                break
+            room -= size
+    found = []
+    for t, place in texts:
+        at = place % max(len(t) - piece + 1, 1)
+        found.append(t[at : at + piece])
+    return b" ".join(found)[:most]
+
+
+def train(docs: DataFrame, *, doc_id: str, text: str, lang: str, docs_per_lang: int, bytes_per_lang: int, piece_bytes: int | None = None) -> Model:
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     share = small(labelled.groupBy("lang").agg((F.lit(float(docs_per_lang)) / F.count(F.lit(1))).alias("share")))
     hashed = F.xxhash64("id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    piece = F.substring("text", 1, bytes_per_lang)
-    rows = labelled.join(share, "lang").where(hashed < F.col("share")).select("lang", "id", piece.alias("text")).toArrow()
-    found: dict[str, list[bytes]] = {}
+    place = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 53) - 1))
+    first = (place % F.greatest(F.length("text") - F.lit(bytes_per_lang) + 1, F.lit(1))).cast("int") + 1
+    part = F.substring("text", first, F.lit(bytes_per_lang))
+    rows = labelled.join(share, "lang").where(hashed < F.col("share")).select("lang", place.alias("place"), part.alias("text")).toArrow()
+    found: dict[str, list[tuple[bytes, int]]] = {}
     clean = letters(rows.column("text").combine_chunks()).to_pylist()
-    for name, _, value in sorted(zip(rows.column("lang").to_pylist(), rows.column("id").to_pylist(), clean), key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2])):
-        found.setdefault(name, []).append(value.encode())
-    each = {name: max(1024, bytes_per_lang // len(texts)) for name, texts in found.items()}
-    return Model({name: b" ".join(t[: each[name]] for t in texts)[:bytes_per_lang] for name, texts in found.items() if any(texts)})
+    for name, place, value in sorted(zip(rows.column("lang").to_pylist(), rows.column("place").to_pylist(), clean)):
+        found.setdefault(name, []).append((value.encode(), place))
+    return Model({name: sample(texts, bytes_per_lang, piece_bytes) for name, texts in found.items() if any(t for t, _ in texts)})
 
 
 def identify(
@@ -130,12 +152,13 @@ def identify(
     lang: str = "lang",
     docs_per_lang: int = 200,
     bytes_per_lang: int = 1 << 16,
+    piece_bytes: int | None = None,
 ) -> DataFrame:
     """All columns of `docs`, then lang_pred and score (share of the runner-up's phrases in those of the best two).
 
     learn: the rows to learn from (by default all of `docs`).
     """
-    model = train(docs if learn is None else learn, doc_id=doc_id, text=text, lang=lang, docs_per_lang=docs_per_lang, bytes_per_lang=bytes_per_lang)
+    model = train(docs if learn is None else learn, doc_id=doc_id, text=text, lang=lang, docs_per_lang=docs_per_lang, bytes_per_lang=bytes_per_lang, piece_bytes=piece_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches):

@@ -89,6 +89,21 @@ def test_language_odd_rows(spark):
     assert identify(df.limit(0)).count() == 0
 
 
+def test_language_sample_takes_a_piece_of_every_text(spark):
+    from graphquarry.llm.language import identify, sample
+
+    texts = [(bytes([i]) * n, i * 7919) for i, n in enumerate([3, 50, 400, 5000, 5000, 90], 65)]
+    got = sample(texts, 1000)
+    assert set(got) == set(b" ABCDEF") and 990 <= len(got) <= 1000 and got.count(b"A") == 3 and got.count(b"B") == 50
+    assert sample(texts, 1000, 10).split() == [b"AAA", *(bytes([i]) * 10 for i in b"BCDEF")]
+    head = "licence terms apply to all of this text " * 120  # fills any beginning that a sample might take
+    tail = {"en": "the cat and the dog ", "de": "der hund und die katze "}
+    docs = [(i, head + tail[lang] * 1000, lang) for i in range(40) for lang in tail]
+    asked = [(-1, tail["en"] * 3, None), (-2, tail["de"] * 3, None)]
+    df = spark.createDataFrame(docs + asked, "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in identify(df).where("doc_id < 0").collect()} == {-1: "en", -2: "de"}
+
+
 @pytest.mark.parametrize("name", ["op3_benchmark_decontamination", "op10_secret_scan"])
 def test_sql(same_as_sql, name):
     same_as_sql(name)
