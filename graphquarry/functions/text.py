@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 LEAST, STEM = 3, 4
 
+#: Words that say nothing about the part of a code base that is meant.
+STOP_WORDS = tuple(
+    """
+    a about actually after all also an and any anything are at basically be been before bit bro but by can correctly
+    could currently did do does doesnt dont dude each ever everything for from gonna good great guys had has have
+    hello hey how i if in instead into is it its just kinda lets like literally man maybe need needs nice no nope not
+    now of okay on one only or our out own per perhaps please pls plz pretty properly quite really should simply so
+    some something still stuff sure than thank thanks that the their them then these they thing things this those
+    three to two very via wanna want was way ways we were what when where whether which while who why will with would
+    yeah yep you your
+    """.split()
+)
+
 
 def task_terms(text: Column, stop_words: tuple[str, ...] = ()) -> Column:
     """Distinct lower-case terms in order: pieces of words (cut before capitals), then the words themselves."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import task_terms
+from ..functions.text import STOP_WORDS, task_terms
 from ..operators.edges import delta, intact, merge_sites
 from ..operators.traverse import ends_of_paths, reach, reach_each
 
@@ -117,7 +117,15 @@ def prompt_terms(spark, d):
     return Graph(spark, d).read("benchmark").select("item_id", F.explode(task_terms(F.col("text"))).alias("term"))
 
 
-QUERIES = {f.__name__: f for f in (call_edges, touch_edges, label_counts, intact_calls, callers, neighbourhood, callers_of_all, neighbourhood_of_all, direct_touchers, route_to_model, hubs, touch_delta, prompt_terms)}
+def all_prompt_terms(spark, d):
+    """Terms without stop words of both kinds of prompts: items of the benchmark and user turns of conversations."""
+    read = Graph(spark, d).read
+    items = read("benchmark").select(F.lit("benchmark").alias("source"), F.col("item_id").cast("long").alias("id"), F.lit(None).cast("long").alias("turn"), "text")
+    turns = read("conversations").where("role = 'user'").select(F.lit("conversations"), F.col("conv_id").cast("long"), F.col("turn").cast("long"), "text")
+    return items.union(turns).select("source", "id", "turn", F.explode(task_terms(F.col("text"), STOP_WORDS)).alias("term")).distinct()
+
+
+QUERIES = {f.__name__: f for f in (call_edges, touch_edges, label_counts, intact_calls, callers, neighbourhood, callers_of_all, neighbourhood_of_all, direct_touchers, route_to_model, hubs, touch_delta, prompt_terms, all_prompt_terms)}
 
 _GRAPH = f"""
 functions AS (SELECT p_partkey AS key, p_name AS name, p_brand AS file, p_size % 2 = 0 AS exported FROM part),
@@ -168,4 +176,11 @@ SQL = {
     "prompt_terms": r"""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9_\s/-]', ' ', 'g'), '[\s/_-]+'), lambda x: x <> '') AS ws FROM benchmark),
       t AS (SELECT item_id, unnest(ws) AS x FROM w)
       SELECT DISTINCT item_id, lower(term) AS term FROM (SELECT item_id, x AS term FROM t UNION ALL SELECT item_id, unnest(string_split(trim(regexp_replace(x, '([A-Z])', ' \1', 'g')), ' ')) FROM t) WHERE length(term) >= 3""",
+    "all_prompt_terms": r"""WITH p AS (SELECT 'benchmark' AS source, CAST(item_id AS BIGINT) AS id, CAST(NULL AS BIGINT) AS turn, text FROM benchmark
+        UNION ALL SELECT 'conversations', CAST(conv_id AS BIGINT), CAST(turn AS BIGINT), text FROM conversations WHERE role = 'user'),
+      t AS (SELECT source, id, turn, unnest(list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9_\s/-]', ' ', 'g'), '[\s/_-]+'), lambda x: x <> '')) AS x FROM p)
+      SELECT DISTINCT source, id, turn, lower(term) AS term FROM (SELECT source, id, turn, x AS term FROM t UNION ALL SELECT source, id, turn, unnest(string_split(trim(regexp_replace(x, '([A-Z])', ' \1', 'g')), ' ')) FROM t)
+      WHERE length(term) >= 3 AND lower(term) NOT IN ('"""
+    + "', '".join(STOP_WORDS)
+    + "')",
 }

@@ -37,3 +37,11 @@ def test_every_function_has_its_own_walk(spark, sf_dir):
     keys = {r.key for r in testgraph.Graph(spark, sf_dir).functions().collect()}
     for query in (testgraph.QUERIES["callers_of_all"], testgraph.QUERIES["neighbourhood_of_all"]):
         assert {r.origin for r in query(spark, sf_dir).collect()} == keys
+
+
+def test_all_prompts_without_stop_words(spark, tmp_path):
+    spark.createDataFrame([(1, "please fix the createVendor route")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    turns = [(7, 0, "user", "hey, the retry logic"), (7, 1, "assistant", "done"), (7, 2, "user", None)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {tuple(r) for r in testgraph.QUERIES["all_prompt_terms"](spark, str(tmp_path)).collect()}
+    assert got == {("benchmark", 1, None, t) for t in ("fix", "create", "vendor", "createvendor", "route")} | {("conversations", 7, 0, t) for t in ("retry", "logic")}
