@@ -17,7 +17,10 @@ QUANTITY, MODEL, SEED = 48, 7, 1
 
 
 class Graph:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    """The graph over the tables in `sf_dir`; `quantity` is the least of a line that is a call site, None takes every line."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, quantity: int | None = QUANTITY):
+        self.quantity = quantity
         self.read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     def functions(self) -> DataFrame:
@@ -25,7 +28,9 @@ class Graph:
 
     def call_sites(self) -> DataFrame:
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
-        lines = self.read("lineitem").where(F.col("l_quantity") >= QUANTITY)
+        lines = self.read("lineitem")
+        if self.quantity is not None:
+            lines = lines.where(F.col("l_quantity") >= self.quantity)
         sites = lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), (F.col("l_returnflag") == "R").alias("render"), (F.col("l_linestatus") == "O").alias("contains"))
         return sites.where("dst is not null and src <> dst")
 

@@ -45,3 +45,9 @@ def test_all_prompts_without_stop_words(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {tuple(r) for r in testgraph.QUERIES["all_prompt_terms"](spark, str(tmp_path)).collect()}
     assert got == {("benchmark", 1, None, t) for t in ("fix", "create", "vendor", "createvendor", "route")} | {("conversations", 7, 0, t) for t in ("retry", "logic")}
+
+
+def test_call_sites_of_every_line(spark, sf_dir):
+    lines = sorted((tuple(r) for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus").collect()))
+    want = sum(a[0] == b[0] and a[2] != b[2] for a, b in zip(lines, lines[1:]))
+    assert testgraph.Graph(spark, sf_dir, quantity=None).call_sites().count() == want > testgraph.Graph(spark, sf_dir).call_sites().count()
