@@ -11,7 +11,10 @@ are dealt into blocks, each pair of blocks meets in one task, similarity is esti
 likelihood, and pairs across components that come near the threshold are confirmed there on full sets; a pair whose
 components were joined meanwhile needs no link. Links are merged by passing on the least id.
 
-With bands of 3 of 120 registers a pair at the threshold of 0.75 is missed with a probability below 1e-9.
+With bands of 3 of 120 registers a pair at the threshold of 0.75 shares no band with a probability of 3e-10. In
+blocks it must also pass the estimate (at least 0.55) and have 45 % of registers equal; for sets of equal size the
+estimate fails with a probability of about 6e-7 (fewer than 66 of 120 registers equal, each with probability 0.75),
+so a pair that meets only in blocks is missed with about 6e-7 in all. Pairs with a bucket's least member skip that.
 
 Defined cases: null texts and texts without words have an empty set, link with nothing and are kept. An id is taken
 to name one text; rows that repeat both are equal, and every row is returned. Rows without id link with nothing. An empty table gives no rows.

@@ -61,6 +61,17 @@ def test_pairs_around_the_threshold(spark):
     assert rows_of(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))) == brute(docs)
 
 
+def test_docstring_states_the_odds_of_a_miss():
+    from math import comb
+
+    from graphquarry.llm import near
+
+    p, n = 0.75, near.REGISTERS
+    bands = (1 - p**near.ROWS) ** (n // near.ROWS)
+    estimate = sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(66))
+    assert f"{bands:.0e}".replace("e-0", "e-") in near.__doc__ and f"{estimate:.0e}".replace("e-0", "e-") in near.__doc__
+
+
 def test_odd_rows(spark):
     docs = [(5, None), (4, ""), (3, "One two"), (2, "one TWO"), (1, " \t"), (9, "x " * 30000), (8, "x " * 30001)]
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], "doc_id long, text string, n long, component long")
