@@ -1,17 +1,22 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton is built over a sample of labelled text. A text is parsed greedily against
-every automaton into longest phrases that occur in the sample; the language whose sample needs fewest phrases per
-byte wins. Texts are lower-cased and runs of anything but letters become one space. All texts are parsed whole, in
-pieces of `PIECE` bytes side by side, so that a step of the automaton is one gather over many pieces.
+For each language a suffix automaton is built over a sample of labelled text. A text is parsed greedily, from its
+first byte to its last, into longest phrases that occur in a language's sample. A phrase is named by a place in the
+sample or by a byte of its own, so it costs log2(sample bytes + 256) bits; the language whose phrases cost fewest
+bits wins. Texts are lower-cased and runs of anything but letters become one space.
 
-The sample is bounded: about `docs_per_lang` documents of each language, picked by a hash of the id, and at most
-`bytes_per_lang` bytes. Each picked document gives one piece, from a hashed place in it, of at most `piece_bytes`
-bytes: by default as many as let the pieces of all picked documents fit. The bound only limits training.
+A long text is parsed from many places at once, `CHUNK` bytes apart; then each of these parses goes on until it
+begins a phrase where a later one does, after which both are the same, and the parse from the first byte is put
+together from them. Its phrases are exactly those of a parse from left to right, whatever the text's length.
+
+The sample is bounded in rows and bytes: about `docs_per_lang` documents of each language, picked by a hash of id and
+text, taken whole in order of that hash as far as they fit into `bytes_per_lang`; where none fits, the shortest of
+them is taken whole. Rows that repeat id and text count once. An automaton takes about 30 bytes for a byte of sample.
 
 Defined cases: null texts and texts without a letter are `und` with score 0, as is every text if nothing was
 learned. Ties go to the language that sorts first. Rows are treated one by one, so repeats do not matter; an empty
-table gives no rows. Columns other than id, text and language are ignored, and the language is read in training only.
+table gives no rows. Long texts are parsed whole. All columns are kept; the results' names get underscores until they
+differ from those of the columns. The language is read in training only.
 """
 
 from __future__ import annotations
@@ -19,14 +24,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import cut, free_name, small
+from .states import LOW, double_array
 from .words import slices, text_buffers
 
-PIECE = 256
-_CHUNK = 1 << 20
+CHUNK = 1024
+_BYTES = 4 << 20  # of text times languages that are parsed at once
 UNDETERMINED = "und"
 
 
@@ -35,11 +41,11 @@ def letters(column: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_lower(column.fill_null("")), pattern=r"[^\p{L}\p{M}]+", replacement=" ")
 
 
-def automaton(data: bytes, codes: np.ndarray, width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of `data`: next state by state and byte code; 0, the root, is no target."""
+def automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Edges (code to state) of the suffix automaton of a sequence of codes; state 0 is the root and no target."""
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
-    for c in codes[np.frombuffer(data, np.uint8)].tolist():
+    for c in codes:
         new = len(step)
         step.append({})
         link.append(0)
@@ -62,85 +68,149 @@ def automaton(data: bytes, codes: np.ndarray, width: int) -> np.ndarray:
                 target = copy
             link[new] = target
         last = new
-    table = np.zeros((len(step), width), np.int32)
-    for state, out in enumerate(step):
-        for c, target in out.items():
-            table[state, c] = target
-    return table
+    return step
 
 
 class Model:
-    """Automata of all languages over one coding of bytes; code 0 is any byte that training text lacks."""
+    """Automata of all languages in one array of slots, over one coding of bytes; code 0 is a byte that no sample holds."""
 
     def __init__(self, samples: dict[str, bytes]):
         self.langs = sorted(samples)
         seen = np.unique(np.frombuffer(b"".join(samples.values()), np.uint8))
         self.codes = np.zeros(256, np.uint8)
         self.codes[seen] = np.arange(1, len(seen) + 1)
-        self.tables = [automaton(samples[lang], self.codes, len(seen) + 1) for lang in self.langs]
+        width, parts, self.at, self.begin = len(seen) + 1, [], [], []
+        for lang in self.langs:
+            edges = automaton(self.codes[np.frombuffer(samples[lang], np.uint8)].tolist())
+            slots, base = double_array(edges, width)
+            self.at.append(sum(map(len, parts)))
+            parts.append(slots)
+            first = np.zeros(width, np.int64)
+            for c, target in edges[0].items():
+                first[c] = base[target]
+            self.begin.append(first)
+        self.slots = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        self.at = np.array(self.at, np.int64)
+        self.begin = np.array(self.begin, np.int64).reshape(len(self.langs), width)
+        self.bits = np.array([np.log2(len(samples[lang]) + 256) for lang in self.langs])
+
+    def _step(self, k, state, c):
+        """(whether a phrase begins with code c, the state after it), for automata k."""
+        entry = self.slots[self.at[k] + state + c]
+        begins = (state == 0) | (entry >> 32 != state)
+        return begins, np.where(begins, self.begin[k, c], entry & LOW)
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases that each text needs, by language."""
-        lengths = np.diff(offsets)
-        pieces = -(-lengths // PIECE)
-        row = np.repeat(np.arange(len(lengths)), pieces)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = offsets[row] + nth * PIECE
-        size = np.minimum(PIECE, offsets[row + 1] - start)
+        langs, texts, total = len(self.langs), len(offsets) - 1, int(offsets[-1])
+        pieces = -(-np.diff(offsets) // CHUNK)
+        head = np.cumsum(pieces) - pieces  # the first piece of each text
+        row = np.repeat(np.arange(texts), pieces)
+        start = offsets[row] + (np.arange(len(row)) - head[row]) * CHUNK
+        size = np.minimum(CHUNK, offsets[row + 1] - start)
         order = np.argsort(-size, kind="stable")
-        row, start, size = row[order], start[order], size[order]
-        coded = self.codes[data]
-        out = np.zeros((len(self.langs), len(lengths)), np.int64)
-        live = np.searchsorted(-size, -np.arange(1, PIECE + 1), side="right")
-        for k, table in enumerate(self.tables):
-            flat, width = table.ravel(), table.shape[1]
-            state, count = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
-            for t, n in enumerate(live):
-                if n == 0:
-                    break
-                c = coded[start[:n] + t]
-                now = state[:n]
-                new = flat[now * width + c]
-                begins = (now == 0) | (new == 0)
-                count[:n] += begins
-                state[:n] = np.where(begins, flat[c], new)
-            out[k] = np.bincount(row, weights=count, minlength=len(lengths))
+        begin, live = start[order], np.searchsorted(-size[order], -np.arange(1, CHUNK + 1), side="right")
+        coded = self.codes[data].astype(np.int64)
+        marks = np.zeros((langs, total), bool)
+        state = np.zeros((langs, len(row)), np.int64)
+        every = np.arange(langs)[:, None]
+        for t, n in enumerate(live):
+            if n == 0:
+                break
+            place = begin[:n] + t
+            marks[:, place], state[:, :n] = self._step(every, state[:, :n], coded[place][None, :])
+        upto = np.zeros((langs, total + 1), np.int32)
+        np.cumsum(marks, axis=1, out=upto[:, 1:])
+        out = upto[:, offsets[1:]].astype(np.int64) - upto[:, offsets[:-1]]
+        long = np.flatnonzero(pieces > 1)
+        if len(long):
+            at_end = np.empty_like(state)
+            at_end[:, order] = state
+            more = _Joined(self, coded, marks, at_end, offsets, row, start)
+            for i in long:
+                for k in range(langs):
+                    out[k, i] = more.count(k, upto[k], head[i], offsets[i], offsets[i + 1])
         return out
 
 
-def sample(texts: list[tuple[bytes, int]], most: int, piece: int | None = None) -> bytes:
-    """A piece of each (text, place), joined by spaces, in at most `most` bytes; `piece` is the longest piece's length.
+class _Joined:
+    """For each language and piece with a successor in its text: where its parse joins a later one, and the phrases till then."""
 
-    By default that length is the greatest with which the pieces of all texts fit.
-    """
-    texts = [(t, place) for t, place in texts if t]
-    if piece is None:
-        piece, room = 1, most - max(len(texts) - 1, 0)
-        for left, size in zip(range(len(texts), 0, -1), sorted(len(t) for t, _ in texts)):
-            piece = max(room // left, 1)
-            if size > piece:
+    def __init__(self, model: Model, coded, marks, state, offsets, row, start):
+        self.model, self.coded, self.marks, self.start = model, coded, marks, start
+        langs = len(model.langs)
+        stop = offsets[row + 1]
+        self.meets = np.full((langs, len(row)), -1, np.int64)
+        self.extra = np.zeros((langs, len(row)), np.int64)
+        self.state, self.place = state, np.broadcast_to(start + CHUNK, (langs, len(row))).copy()
+        k, piece = np.nonzero(np.broadcast_to(start + CHUNK < stop, (langs, len(row))))
+        for _ in range(2 * CHUNK):
+            if not len(k):
                 break
-            room -= size
-    found = []
-    for t, place in texts:
-        at = place % max(len(t) - piece + 1, 1)
-        found.append(t[at : at + piece])
-    return b" ".join(found)[:most]
-
-
-def train(docs: DataFrame, *, doc_id: str, text: str, lang: str, docs_per_lang: int, bytes_per_lang: int, piece_bytes: int | None = None) -> Model:
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    share = small(labelled.groupBy("lang").agg((F.lit(float(docs_per_lang)) / F.count(F.lit(1))).alias("share")))
-    hashed = F.xxhash64("id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    place = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 53) - 1))
-    first = (place % F.greatest(F.length("text") - F.lit(bytes_per_lang) + 1, F.lit(1))).cast("int") + 1
-    part = F.substring("text", first, F.lit(bytes_per_lang))
-    rows = labelled.join(share, "lang").where(hashed < F.col("share")).select("lang", place.alias("place"), part.alias("text")).toArrow()
-    found: dict[str, list[tuple[bytes, int]]] = {}
+            at, now = self.place[k, piece], self.state[k, piece]
+            begins, new = model._step(k, now, coded[at])
+            met = begins & marks[k, at]
+            self.meets[k[met], piece[met]] = at[met]
+            k, piece, at, begins, new = k[~met], piece[~met], at[~met] + 1, begins[~met], new[~met]
+            self.extra[k, piece] += begins
+            self.place[k, piece], self.state[k, piece] = at, new
+            ended = at == stop[piece]
+            self.meets[k[ended], piece[ended]] = at[ended]
+            k, piece = k[~ended], piece[~ended]
+
+    def _walk(self, k: int, piece: int, stop: int) -> None:
+        """Go on alone with a parse that did not join another for long; only those on the way from a text's first byte do."""
+        at, state, extra = int(self.place[k, piece]), int(self.state[k, piece]), int(self.extra[k, piece])
+        slots, first, marks, coded = memoryview(self.model.slots), self.model.begin[k].tolist(), memoryview(self.marks[k]), memoryview(self.coded)
+        shift = int(self.model.at[k])
+        while at < stop:
+            c = coded[at]
+            entry = slots[shift + state + c]
+            if state == 0 or entry >> 32 != state:
+                if marks[at]:
+                    break
+                extra += 1
+                state = first[c]
+            else:
+                state = entry & LOW
+            at += 1
+        self.meets[k, piece], self.extra[k, piece] = at, extra
+
+    def count(self, k: int, upto: np.ndarray, head: int, begin: int, stop: int) -> int:
+        found, at = 0, begin
+        while True:
+            piece = head + (at - begin) // CHUNK
+            end = min(int(self.start[piece]) + CHUNK, stop)
+            found += int(upto[end]) - int(upto[at])
+            if end == stop:
+                return found
+            if self.meets[k, piece] < 0:
+                self._walk(k, piece, stop)
+            found += int(self.extra[k, piece])
+            at = int(self.meets[k, piece])
+            if at == stop:
+                return found
+
+
+def train(docs: DataFrame, *, doc_id: str, text: str, lang: str, docs_per_lang: int, bytes_per_lang: int) -> Model:
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(F.col(doc_id), F.col(text)).alias("hash"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    share = small(cut(labelled.groupBy("lang").agg((F.lit(float(docs_per_lang)) / F.count(F.lit(1))).alias("share"))))
+    part = F.col("hash").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    picked = labelled.join(share, "lang").where(part < F.col("share")).groupBy("lang", "hash").agg(F.min("text").alias("text"))
+    size, of = F.octet_length("text"), Window.partitionBy("lang")
+    fits = size <= bytes_per_lang
+    picked = picked.withColumns({
+        "upto": F.sum(F.when(fits, size)).over(of.orderBy("hash")),
+        "none": ~F.max(fits).over(of),
+        "place": F.row_number().over(of.orderBy(size, "hash")),
+    })
+    rows = picked.where((fits & (F.col("upto") <= bytes_per_lang)) | (F.col("none") & (F.col("place") == 1))).select("lang", "hash", "text").toArrow()
+    found: dict[str, list[bytes]] = {}
     clean = letters(rows.column("text").combine_chunks()).to_pylist()
-    for name, place, value in sorted(zip(rows.column("lang").to_pylist(), rows.column("place").to_pylist(), clean)):
-        found.setdefault(name, []).append((value.encode(), place))
-    return Model({name: sample(texts, bytes_per_lang, piece_bytes) for name, texts in found.items() if any(t for t, _ in texts)})
+    for name, _, value in sorted(zip(rows.column("lang").to_pylist(), rows.column("hash").to_pylist(), clean)):
+        if value.strip():
+            found.setdefault(name, []).append(value.encode())
+    return Model({name: b" ".join(texts) for name, texts in found.items()})
 
 
 def identify(
@@ -150,34 +220,33 @@ def identify(
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
-    docs_per_lang: int = 200,
-    bytes_per_lang: int = 1 << 16,
-    piece_bytes: int | None = None,
+    docs_per_lang: int = 64,
+    bytes_per_lang: int = 1 << 18,
 ) -> DataFrame:
-    """All columns of `docs`, then lang_pred and score (share of the runner-up's phrases in those of the best two).
+    """All columns of `docs`, then lang_pred and score (share of the runner-up's bits in those of the best two).
 
     learn: the rows to learn from (by default all of `docs`).
     """
-    model = train(docs if learn is None else learn, doc_id=doc_id, text=text, lang=lang, docs_per_lang=docs_per_lang, bytes_per_lang=bytes_per_lang, piece_bytes=piece_bytes)
+    model = train(docs if learn is None else learn, doc_id=doc_id, text=text, lang=lang, docs_per_lang=docs_per_lang, bytes_per_lang=bytes_per_lang)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    results = [free_name(docs, "lang_pred"), free_name(docs, "score")]
 
     def predict(batches):
         m = shared.value
         for batch in batches:
-            for part in slices(batch, text, _CHUNK):
+            for part in slices(batch, text, max(_BYTES // max(len(m.langs), 1), 1 << 16)):
                 column = part.column(part.schema.get_field_index(text))
                 clean = letters(column)
                 known = pc.match_substring_regex(clean, r"\p{L}").to_numpy(zero_copy_only=False)
                 if m.langs:
-                    need = m.phrases(*text_buffers(clean)).astype(float)
+                    need = m.phrases(*text_buffers(clean)) * m.bits[:, None]
                     best = need.argmin(axis=0)
                     two = np.sort(need, axis=0)[:2] if len(m.langs) > 1 else np.vstack([need, need])
                     score = np.where(known, two[-1] / np.maximum(two.sum(axis=0), 1), 0.0)
                     names = [m.langs[b] if k else UNDETERMINED for b, k in zip(best, known)]
                 else:
                     score, names = np.zeros(len(part)), [UNDETERMINED] * len(part)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], names=[*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], names=[*part.schema.names, *results])
 
-    kept = docs.drop("lang_pred", "score")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "lang_pred string", "score double"])
-    return kept.mapInArrow(predict, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{results[0]}` string", f"`{results[1]}` double"])
+    return docs.mapInArrow(predict, schema)

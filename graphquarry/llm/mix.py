@@ -4,14 +4,17 @@ A document's size is its number of words. Sources take shares of the whole in pr
 more than `most` times what they hold; what that leaves over is shared again by weight. A target of 2.4 times a
 source takes every document twice and a hashed part of them, 0.4 of its words, once more.
 
-That part is found by histograms. Every document has a 64-bit hash. Sizes are summed by source and by the hash's
-leading bits; in each source, running sums find the bucket in which the budget ends; the next bits split only the
-documents of that bucket, and so on to single documents. A document is in if its hash is below its source's
-threshold. Thresholds are nested: a larger budget keeps what a smaller one took.
-
-Defined cases: null text has size 0; null is a source of its own, last in order; documents whose id and text are
-equal share a hash and are in or out together; sources without words have target 0. Names of further columns do
-not matter. An empty table gives an empty result.
+That part is found by histograms. Every document has a 63-bit hash of id and text, and a hashed number of its own
+that tells rows apart whose id and text are equal. Sizes are summed by source and by the hash's leading bits; in each
+source, running sums find the bucket in which the budget ends; the next bits, at last those of the number, split only
+the documents of that bucket, until it holds a single one. A document is in if its hash (and number) is below its
+source's threshold. Thresholds are nested: a larger budget keeps what a smaller one took.
+
+Defined cases: null text has size 0, and however long a text is it counts whole; null is a source of its own, last in
+order; of rows with equal id and text as many are in as come nearest to the target, whichever they are; sources of
+equal cap-to-weight ratios are capped together; sources without words have target 0. An empty table gives an empty
+result. `mixture` reads the columns that it is told; `mixed` keeps all columns, and the names of its results get
+underscores until they differ from those.
 """
 
 from __future__ import annotations
@@ -19,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, free_name, small
 
 LEVEL_BITS = (12, 12, 12, 12, 15)
+_TOP = (1 << 63) - 1
+RESULTS = ("size", "source_size", "target", "copies", "taken")
 
 
 def word_count(text: Column) -> Column:
@@ -29,84 +34,118 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """`sizes` with `rank`: the sources' places in order of code points, null last; sorted by ranges, not in one task."""
+    spark = sizes.sparkSession
+    order = [F.col("source").isNull(), F.col("source")]
+    many = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sizes.repartitionByRange(many, *order).sortWithinPartitions(*order)
+    dealt = cut(dealt.withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    counts, before = [], 0
+    for part, n in sorted(tuple(r) for r in dealt.groupBy("part").count().collect()):  # one row for each partition
+        counts.append((part, before))
+        before += n
+    starts = F.broadcast(spark.createDataFrame(counts, "part int, before long"))
+    return dealt.join(starts, "part").withColumn("rank", F.col("nth") + F.col("before")).drop("part", "nth", "before")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3) -> DataFrame:
     """(source, source_size, target) from (source, source_size): shares by repeating weights, capped at most * size.
 
-    A source is capped if the level that would fill all sources with a smaller cap-to-weight ratio, and share the
-    rest by weight, lies above its own ratio; so one pass over the sources in order of that ratio settles all caps.
+    What capped sources leave over raises the level of the others, which may cap more of them, until none is above.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    t = sizes.withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    every = Window.partitionBy()
-    before = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("all", F.sum("source_size").over(every)).withColumn("weights", F.sum("w").over(every))
-    t = t.withColumn("left", F.col("all") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("of", F.col("weights") - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    t = t.withColumn("level", F.col("left") / F.col("of")).withColumn("capped", F.col("level") * F.col("w") >= F.col("cap"))
-    t = t.withColumn("free_level", F.max(F.when(~F.col("capped"), F.col("level"))).over(every))  # the first of those not capped has the highest
-    return t.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("free_level") * F.col("w")).alias("target"))
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    t = cut(_ranked(sizes).select("source", "source_size", w.alias("w"), (F.col("source_size") * F.lit(float(most))).alias("cap")))
+    whole, level, capped = t.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0], 0.0, -1
+    while True:
+        above = F.lit(level) * F.col("w") >= F.col("cap")
+        n, taken, free = t.agg(F.count(F.when(above, 1)), F.coalesce(F.sum(F.when(above, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~above, F.col("w"))), F.lit(0.0))).first()
+        if n == capped or not free:
+            return t.select("source", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("w")).alias("target"))
+        capped, level = n, (whole - taken) / free
 
 
-def _bits(start: int, count: int) -> Column:
-    """`count` bits of the 63-bit hash, `start` from the top."""
-    return F.shiftright("hash", 63 - start - count).bitwiseAND(F.lit((1 << count) - 1))
+def _hashes(doc_id: str, text: str, number: Column) -> dict[str, Column]:
+    return {
+        "size": word_count(F.col(text)),
+        "hash": F.xxhash64(F.col(doc_id), F.col(text)).bitwiseAND(F.lit(_TOP)),
+        "nth": F.xxhash64(number).bitwiseAND(F.lit(_TOP >> 1)),
+    }
 
 
-def mixture(
-    docs: DataFrame,
-    *,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    source: str = "source",
-    weights: tuple[float, ...] = (1.0, 2.0, 3.0),
-    most: int = 3,
-) -> DataFrame:
-    """Per document: id, source, size, source_size, target, copies, taken (= copies * size)."""
-    rows = cut(
-        docs.select(
-            F.col(doc_id).alias("id"),
-            F.col(source).alias("source"),
-            word_count(F.col(text)).alias("size"),
-            F.xxhash64(F.col(doc_id), F.col(text)).bitwiseAND(F.lit((1 << 63) - 1)).alias("hash"),
-        )
-    )
+def _bits(word: str, start: int, count: int) -> Column:
+    """`count` bits of a 63-bit number, `start` from the top."""
+    return F.shiftright(word, 63 - start - count).bitwiseAND(F.lit((1 << count) - 1))
+
+
+def thresholds(rows: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
+    """Per source: source_size, target, whole (copies of every document), low_hash, low_nth; from checkpointed (source, size, hash, nth)."""
+    same = F.col("source").eqNullSafe(F.col("s"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = source_targets(sizes, weights, most)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(F.lit(0)).cast("long")
     plan = plan.withColumn("whole", whole).withColumn("budget", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
-    plan = small(cut(plan.withColumn("low", F.lit(0).cast("long"))))
-    start = 0
-    for bits in LEVEL_BITS:
-        # of each source only the documents of the bucket in which its budget ends; at first, all
-        step = 1 << (63 - start - bits)
-        inside = rows
-        if start:
-            ends = plan.select(F.col("source").alias("s"), "low")
-            inside = rows.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("hash", 63 - start) == F.shiftright("low", 63 - start)))
-        histogram = inside.groupBy("source", _bits(start, bits).alias("bucket")).agg(F.sum("size").alias("n"))
-        run = Window.partitionBy("source").orderBy("bucket")
-        histogram = histogram.withColumn("upto", F.sum("n").over(run)).withColumn("before", F.col("upto") - F.col("n"))
-        ended = (
-            histogram.join(plan.select(F.col("source").alias("s"), "budget"), F.col("source").eqNullSafe(F.col("s")))
-            .where(F.col("upto") > F.col("budget"))
-            .groupBy("s")
-            .agg(F.min(F.struct("bucket", "before", "n")).alias("b"))
-        )
-        last = start + bits >= 63
-        # in the last bucket, of one hash only, the document is in if that comes nearer to the budget
-        nearer = F.when(F.lit(last) & (F.col("budget") - F.col("b.before") > F.col("b.n") / 2), F.lit(1)).otherwise(F.lit(0))
-        low = F.col("low") + F.when(F.col("s").isNull(), F.lit((1 << 63) - 1) - F.col("low")).otherwise((F.col("b.bucket") + nearer) * F.lit(step))
-        plan = small(
-            cut(
-                plan.join(ended, F.col("source").eqNullSafe(F.col("s")) & F.col("b").isNotNull(), "left").select(
-                    "source", "source_size", "target", "whole", F.coalesce(F.col("budget") - F.col("b.before"), F.lit(float("inf"))).alias("budget"), low.alias("low")
-                )
+    zero = F.lit(0).cast("long")
+    plan = small(cut(plan.withColumns({"low_hash": zero, "low_nth": zero, "open": F.lit(True)})))
+    inside = rows
+    for word in ("hash", "nth"):
+        start = 0
+        for bits in LEVEL_BITS:
+            histogram = inside.groupBy("source", _bits(word, start, bits).alias("bucket")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs"))
+            run = Window.partitionBy("source").orderBy("bucket")
+            histogram = histogram.withColumn("upto", F.sum("n").over(run)).withColumn("before", F.col("upto") - F.col("n"))
+            ended = (
+                histogram.join(plan.where("open").select(F.col("source").alias("s"), "budget"), same)
+                .where(F.col("upto") > F.col("budget"))
+                .groupBy("s")
+                .agg(F.min(F.struct("bucket", "before", "n", "docs")).alias("b"))
             )
-        )
-        start += bits
-    copies = F.col("whole") + F.when(F.col("hash") < F.col("low"), F.lit(1)).otherwise(F.lit(0))
-    return (
-        rows.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("copies", F.least(copies, F.lit(most).cast("long")))
-        .select(F.col("id").alias(doc_id), F.col("source").alias(source), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-    )
+            # a bucket of one document is in if that comes nearer to the budget
+            left = F.col("budget") - F.col("b.before")
+            nearer = F.when((F.col("b.docs") == 1) & (left > F.col("b.n") / 2), F.lit(1)).otherwise(F.lit(0))
+            low = F.col(f"low_{word}") + (F.col("b.bucket") + nearer) * F.lit(1 << (63 - start - bits))
+            met, all_in = F.col("open") & F.col("b").isNotNull(), F.col("open") & F.col("b").isNull()
+            moved = {
+                "budget": F.when(met, left).otherwise(F.col("budget")),
+                f"low_{word}": F.when(met, low).when(all_in, F.lit(_TOP)).otherwise(F.col(f"low_{word}")),
+                "open": met & (F.col("b.docs") > 1),
+            }
+            if word == "hash":
+                moved["low_nth"] = F.when(all_in, F.lit(_TOP)).otherwise(F.col("low_nth"))
+            plan = small(cut(plan.join(ended, same, "left").withColumns(moved).drop("s", "b")))
+            if plan.where("open").isEmpty():
+                return plan
+            start += bits
+            ends = plan.where("open").select(F.col("source").alias("s"), "low_hash", "low_nth")
+            inside = cut(inside.join(ends, same & (F.shiftright(word, 63 - start) == F.shiftright(f"low_{word}", 63 - start))).drop("s", "low_hash", "low_nth"))
+    return plan
+
+
+def _applied(rows: DataFrame, plan: DataFrame, most: int, keep: list[Column], names: tuple[str, ...]) -> DataFrame:
+    below = (F.col("hash") < F.col("low_hash")) | ((F.col("hash") == F.col("low_hash")) & (F.col("nth") < F.col("low_nth")))
+    copies = F.least(F.col("whole") + F.when(below, F.lit(1)).otherwise(F.lit(0)), F.lit(most).cast("long"))
+    columns = (F.col("size"), F.col("source_size"), F.col("target"), copies, copies * F.col("size"))
+    return rows.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(*keep, *[c.alias(n) for c, n in zip(columns, names)])
+
+
+def mixture(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3
+) -> DataFrame:
+    """Per document: id, source, size, source_size, target, copies, taken (= copies * size)."""
+    slim = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(source).alias("source"))
+    rows = cut(slim.withColumns(_hashes("id", "text", F.monotonically_increasing_id())).drop("text"))
+    return _applied(rows, thresholds(rows, weights, most), most, [F.col("id").alias(doc_id), F.col("source").alias(source)], RESULTS)
+
+
+def mixed(
+    docs: DataFrame, number: str, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3
+) -> DataFrame:
+    """All columns of `docs`, then size, source_size, target, copies and taken; texts are read twice and never shuffled.
+
+    number: a column that numbers the rows, each time alike, as in a written table.
+    """
+    names = tuple(free_name(docs, n) for n in RESULTS)
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").alias("source"), F.col(f"`{number}`").alias("number"))
+    wide = wide.withColumns(_hashes("id", "text", F.col("number")))
+    plan = thresholds(cut(wide.select("source", "size", "hash", "nth")), weights, most)
+    return _applied(wide, plan, most, [F.col("row")[c].alias(c) for c in docs.columns], names)

@@ -1,7 +1,7 @@
 import re
 from collections import defaultdict
 
-from graphquarry.llm.mix import mixture
+from graphquarry.llm.mix import mixed, mixture
 
 
 def plain_targets(sizes, most=3):
@@ -46,3 +46,19 @@ def test_mixture_of_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, target string")
     check(spark, docs, 1)
     assert mixture(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_are_split(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x")] * 300 + [(2, "d e", "y")] * 400, "doc_id long, text string, source string")
+    check(spark, docs, 1)
+
+
+def test_mixed_keeps_all_columns(spark):
+    rows = [(i, "w " * (i % 9), "ab"[i % 2], 0, "x", i) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, target string, _row long")
+    got = mixed(docs, "_row")
+    assert got.columns == [*docs.columns, "size_", "source_size", "target_", "copies", "taken"]
+    assert sorted(tuple(r)[:6] for r in got.collect()) == sorted(rows)
+    # ids and texts alone decide, so both forms take the same documents
+    assert sorted((r.doc_id, r.copies) for r in got.collect()) == sorted((r.doc_id, r.copies) for r in mixture(docs).collect())
+    assert mixed(docs.limit(0), "_row").count() == 0

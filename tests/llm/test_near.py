@@ -100,19 +100,59 @@ def test_language_odd_rows(spark):
     assert identify(df.limit(0)).count() == 0
 
 
-def test_language_sample_takes_a_piece_of_every_text(spark):
-    from graphquarry.llm.language import identify, sample
-
-    texts = [(bytes([i]) * n, i * 7919) for i, n in enumerate([3, 50, 400, 5000, 5000, 90], 65)]
-    got = sample(texts, 1000)
-    assert set(got) == set(b" ABCDEF") and 990 <= len(got) <= 1000 and got.count(b"A") == 3 and got.count(b"B") == 50
-    assert sample(texts, 1000, 10).split() == [b"AAA", *(bytes([i]) * 10 for i in b"BCDEF")]
-    head = "licence terms apply to all of this text " * 120  # fills any beginning that a sample might take
-    tail = {"en": "the cat and the dog ", "de": "der hund und die katze "}
-    docs = [(i, head + tail[lang] * 1000, lang) for i in range(40) for lang in tail]
-    asked = [(-1, tail["en"] * 3, None), (-2, tail["de"] * 3, None)]
-    df = spark.createDataFrame(docs + asked, "doc_id long, text string, lang string")
-    assert {r.doc_id: r.lang_pred for r in identify(df).where("doc_id < 0").collect()} == {-1: "en", -2: "de"}
+def cross_parse(sample, text):
+    """Phrases of a text from left to right, by the definition."""
+    at = phrases = 0
+    while at < len(text):
+        n = 1
+        while at + n <= len(text) and text[at : at + n] in sample:
+            n += 1
+        at, phrases = at + max(n - 1, 1), phrases + 1
+    return phrases
+
+
+@pytest.mark.parametrize("chunk", [7, 16, 1024])
+def test_cross_parsing_equals_the_definition(monkeypatch, chunk):
+    import random
+
+    import numpy as np
+
+    from graphquarry.llm import language
+
+    monkeypatch.setattr(language, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    for alphabet in (b"ab ", b"abcdefgh ") * 10:
+        samples = {x: bytes(rng.choices(alphabet, k=rng.randrange(1, 300))) for x in ("de", "en", "fr")}
+        texts = [bytes(rng.choices(alphabet + b"z", k=rng.randrange(200))) for _ in range(6)] + [samples["en"] * 9, b"a" * 3000, b""]
+        model = language.Model(samples)
+        offsets = np.cumsum([0, *map(len, texts)])
+        got = model.phrases(np.frombuffer(b"".join(texts), np.uint8), offsets)
+        assert got.tolist() == [[cross_parse(samples[lang], t) for t in texts] for lang in model.langs]
+
+
+def test_language_of_unequal_samples_long_texts_and_repeats(spark):
+    from graphquarry.llm.language import identify
+
+    docs = [(i, "the cat and the dog", "en", 0.5, "x") for i in range(50)] + [(60, "der hund und die katze", "de", 0.5, "x")]
+    asked = [(70, "die katze und der hund", None, 0.5, "x"), (71, "a dog saw the cat", None, 0.5, "x"), (72, "die katze und der hund " * 5000, None, 0.5, "x")]
+    df = spark.createDataFrame(docs + asked + asked[:1], "doc_id long, text string, lang string, score double, lang_pred string")
+    got = identify(df)
+    assert got.columns == [*df.columns, "lang_pred_", "score_"]
+    rows = got.where("doc_id >= 70").collect()
+    assert {(r.doc_id, r.lang_pred_) for r in rows} == {(70, "de"), (71, "en"), (72, "de")} and len(rows) == 4
+    assert {(r.score, r.lang_pred) for r in rows} == {(0.5, "x")}
+
+
+def test_language_sample_is_of_whole_texts(spark):
+    from graphquarry.llm.language import train
+
+    docs = [(i, f"w{chr(97 + i)} " * 100 + chr(97 + i) * 3, "en") for i in range(20)] + [(30, "z" * 5000, "de"), (31, "y" * 9000, "de")]
+    df = spark.createDataFrame(docs + docs[:5], "doc_id long, text string, lang string")
+    model = train(df, doc_id="doc_id", text="text", lang="lang", docs_per_lang=100, bytes_per_lang=1000)
+    assert model.langs == ["de", "en"]
+    sizes = [round(2**b - 256) for b in model.bits]
+    assert sizes[0] == 5000  # none fits, so the shortest is taken whole
+    assert sizes[1] == 3 * 303 + 2  # three whole texts of 303 bytes and the spaces between them
 
 
 @pytest.mark.parametrize("name", ["op3_benchmark_decontamination", "op10_secret_scan"])
