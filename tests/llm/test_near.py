@@ -93,7 +93,7 @@ def test_language_odd_rows(spark):
 
     docs = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "", None), (5, "12 34", "de"), (6, "die katze", None), (None, "the dog", None)]
     df = spark.createDataFrame([(*d, 0.5) for d in docs], "doc_id long, text string, lang string, score double")
-    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(df).collect()}
+    got = {r.doc_id: (r.lang_pred, r.score_) for r in identify(df).collect()}  # the column score of the input stays
     assert got[3] == got[4] == got[5] == ("und", 0.0)
     assert got[6][0] == "de" and got[None][0] == "en"
     assert {r.lang_pred for r in identify(df, learn=df.limit(0)).collect()} == {"und"}
