@@ -1,4 +1,4 @@
-"""What several operators share: the shared folder, checkpoints, checked broadcasts, blocks of hot groups."""
+"""What several operators share: the shared folder, checkpoints, checked broadcasts, memory-mapped files."""
 
 from __future__ import annotations
 
@@ -65,27 +65,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def blocked(df: DataFrame, key: str, member: Column, limit: int) -> DataFrame:
-    """Deal the rows of each `key` into blocks of about `limit` and repeat each row for every pair of blocks it is in.
-
-    Adds `bi`, `bj` (bi <= bj): the rows of (key, bi, bj) are those of blocks bi and bj, so every pair of rows of
-    a key meets in some task and no task holds more than about two blocks. Keys of one row are left out.
-    Adds `block`, the row's own block.
-    """
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    n = F.ceil(F.col("_n") / F.lit(limit)).cast("int")
-    own = F.pmod(F.xxhash64(member), n.cast("long")).cast("int")
-    return (
-        df.join(sizes, key)
-        .withColumn("block", F.when(F.col("_n") <= limit, F.lit(0)).otherwise(own))
-        .withColumn("_n", n)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-        .withColumn("bi", F.least("block", "_other"))
-        .withColumn("bj", F.greatest("block", "_other"))
-        .drop("_n", "_other")
-    )
-
-
 def mapped_folder(spark: SparkSession, name: str) -> str:
     """A new folder, below the shared one, whose files every process may memory-map."""
     folder = new_folder(spark, name)

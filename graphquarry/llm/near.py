@@ -7,28 +7,32 @@ registers are the candidate search: documents that share a band meet in a bucket
 
 In a bucket all compare with its least member first, on their full sets; one pass of that settles groups of copies
 of any size with one link for each member. Where members of a bucket are still in different components, its rows
-are dealt into blocks, each pair of blocks meets in one task, similarity is estimated from both sketches by maximum
-likelihood, and pairs across components that come near the threshold are confirmed there on full sets; a pair whose
-components were joined meanwhile needs no link. Links are merged by passing on the least id.
+are dealt into blocks: a component of many rows has blocks of its own, the others share some. Every pair of blocks
+but those of one component meets in one task, first with the sketches alone: similarity is estimated from both
+sketches by maximum likelihood, and rows with a near partner in another component go on. Those are dealt anew, now
+with their texts, in blocks of bounded bytes, and pairs across components are confirmed there on full sets; a pair
+whose components were joined meanwhile needs no link. Links are merged by passing on the least class number.
 
 With bands of 3 of 120 registers a pair at the threshold of 0.75 shares no band with a probability of 3e-10. In
 blocks it must also pass the estimate (at least 0.55) and have 45 % of registers equal; for sets of equal size the
 estimate fails with a probability of about 6e-7 (fewer than 66 of 120 registers equal, each with probability 0.75),
 so a pair that meets only in blocks is missed with about 6e-7 in all. Pairs with a bucket's least member skip that.
 
-Defined cases: null texts and texts without words have an empty set, link with nothing and are kept. An id is taken
-to name one text; rows that repeat both are equal, and every row is returned. Rows without id link with nothing. An empty table gives no rows.
-Columns other than id and text are ignored.
+Defined cases: null texts and texts without words have an empty set, link with nothing and are kept. Every row is
+judged by its own text, also where texts share an id; a component is named by the least id of its rows, and rows of
+that id are kept. Rows without id link with nothing. Ids may be of any type that can be ordered. An empty table gives
+no rows. Very long texts are compared whole. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocked, cut, small
+from .common import cut, small
 from .words import SPACED, U64, Words, grams, mix, slices, text_buffers
 
 #: So near 1 that registers of unrelated sets are seldom equal; two bytes hold them.
@@ -37,7 +41,9 @@ REGISTERS, ROWS = 120, 3
 _OFFSET = 4096  # registers of a single element may lie below 0
 _CHUNK = 1 << 19
 _BLOCK = 2048
-_SKETCH = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.binary())])
+_BLOCK_BYTES = 16 << 20
+_CONFIRM_BYTES = 4 << 20
+_RESULTS = ("n", "s1", "s2", "sketch")
 _rng = np.random.default_rng(7)
 _SEEDS = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
 _FACTORS = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) | U64(1)
@@ -106,7 +112,7 @@ def _sketch_rows(k):
                 for salt in (1, 2):
                     s = np.concatenate([np.zeros(1, U64), np.cumsum(mix(value ^ U64(salt)), dtype=U64)])
                     sums.append(mix(s[first[1:]] - s[first[:-1]] + n.astype(U64)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.array(regs, pa.binary())], schema=_SKETCH)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.array(regs, pa.binary())], names=["id", "key", *_RESULTS])
 
     return rows
 
@@ -114,24 +120,24 @@ def _sketch_rows(k):
 def _confirm(k, num, den):
     def rows(batches):
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
-                sets = []
-                for name in ("a_text", "b_text"):
-                    values, first = shingle_sets(*text_buffers(part.column(name)), k)
-                    sets.append((values, first))
-                (va, fa), (vb, fb) = sets
+            bytes_ = np.cumsum([0, *(pc.binary_length(batch.column("a_text")).to_numpy(zero_copy_only=False) + pc.binary_length(batch.column("b_text")).to_numpy(zero_copy_only=False))])
+            start = 0
+            while start < len(batch):
+                stop = max(int(np.searchsorted(bytes_, bytes_[start] + _CONFIRM_BYTES, side="right")) - 1, start + 1)
+                part = batch.slice(start, stop - start)
+                (va, fa), (vb, fb) = (shingle_sets(*text_buffers(part.column(name)), k) for name in ("a_text", "b_text"))
                 good = []
                 for i in range(len(part)):
                     x, y = va[fa[i] : fa[i + 1]], vb[fb[i] : fb[i + 1]]
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     good.append(den * both >= num * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(good)), part.column("b").filter(pa.array(good))], names=["a", "b"])
+                start = stop
 
     return rows
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id that each end of an edge (a, b) reaches. Labels jump to their labels' labels."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")))
@@ -145,29 +151,79 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
             return labels.select(F.col("a").alias("id"), F.col("l").alias("component"))
 
 
+def _blocks(rows: DataFrame, size: Column | int = 0) -> DataFrame:
+    """Rows of (bucket, label, id, ...) dealt for tasks: repeated for each pair of blocks (a, b) of their bucket that may hold
+    rows of different labels. A block has about `_BLOCK` rows and `_BLOCK_BYTES` of `size`; `block` is the row's own.
+    """
+    rows = rows.withColumn("_size", F.lit(0).cast("long") if isinstance(size, int) else size.cast("long"))
+    weight = F.greatest(F.count(F.lit(1)) / F.lit(_BLOCK), F.sum("_size") / F.lit(_BLOCK_BYTES))
+    labels = rows.groupBy("bucket", "label").agg(weight.alias("weight"))
+    pools = labels.groupBy("bucket").agg(F.ceil(F.sum(F.when(F.col("weight") <= 1, F.col("weight")).otherwise(0.0))).alias("pools"))
+    labels = cut(labels.join(pools, "bucket"))
+    part = lambda column, n: F.pmod(F.xxhash64(column), F.greatest(n, F.lit(1)).cast("long"))
+    own = F.when(F.col("weight") > 1, F.col("label"))
+    block = F.when(F.col("weight") > 1, F.concat_ws(":", F.col("label"), part("id", F.ceil("weight")))).otherwise(F.concat_ws(":", F.lit("pool"), part("label", F.col("pools"))))
+    dealt = rows.join(small(labels), ["bucket", "label"]).withColumn("own", own).withColumn("block", block).drop("weight", "pools", "_size")
+    blocks = cut(dealt.select("bucket", "block", "own").distinct())
+    other = blocks.select("bucket", F.col("block").alias("b"), F.col("own").alias("b_own"))
+    apart = F.col("own").isNull() | F.col("b_own").isNull() | (F.col("own") != F.col("b_own"))
+    pairs = cut(blocks.withColumnRenamed("block", "a").join(other, "bucket").where((F.col("a") <= F.col("b")) & apart).select("bucket", "a", "b"))
+    sides = pairs.withColumn("block", F.col("a")).union(pairs.where("a <> b").withColumn("block", F.col("b")))
+    many = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 64)
+    return dealt.drop("own").join(small(sides), ["bucket", "block"]).repartition(many, "bucket", "a", "b")
+
+
+class _Pairs:
+    """The pairs of rows of a task's two blocks whose sketches come near the threshold, and whose labels differ."""
+
+    def __init__(self, rows: pa.Table, num: int, den: int):
+        self.ids, self.label, block = (rows.column(c).to_numpy() for c in ("id", "label", "block"))
+        self.label = self.label.copy()
+        self.n = rows.column("n").to_numpy().astype(float)
+        self.regs = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        a, b = rows.column("a")[0].as_py(), rows.column("b")[0].as_py()
+        self.left, self.right, self.same = np.flatnonzero(block == a), np.flatnonzero(block == b), a == b
+        self.share, self.floor = num / den, num / den - 0.2
+
+    def partners(self, x: int) -> np.ndarray:
+        """Rows near row x, the nearest first."""
+        y, n, regs = self.right, self.n, self.regs
+        y = y[(self.label[y] != self.label[x]) & (np.minimum(n[y], n[x]) >= self.share * np.maximum(n[y], n[x]))]
+        if self.same:
+            y = y[self.ids[y] > self.ids[x]]
+        y = y[(regs[y] == regs[x]).sum(axis=1) >= (self.floor - 0.1) * REGISTERS]
+        if not len(y):
+            return y
+        guess = estimate(np.broadcast_to(regs[x], (len(y), REGISTERS)), regs[y], np.full(len(y), n[x]), n[y])
+        return y[np.argsort(-guess)][: int((guess >= self.floor).sum())]
+
+
+def _near(num: int, den: int):
+    """Rows with a near partner in another component: (bucket, id), no row twice in a task."""
+
+    def near(rows: pa.Table) -> pa.Table:
+        pairs, found = _Pairs(rows, num, den), np.zeros(len(rows), bool)
+        for x in pairs.left:
+            y = pairs.partners(x)
+            if len(y):
+                found[x] = found[y] = True
+        at = pa.array(np.flatnonzero(found))
+        return rows.select(["bucket", "id"]).take(at)
+
+    return near
+
+
 def _links(k: int, num: int, den: int):
     """Links between the components in a pair of blocks: as many as join those that belong together, no more."""
-    floor, share = num / den - 0.2, num / den
 
     def links(rows: pa.Table) -> pa.Table:
-        ids, label, block = (rows.column(c).to_numpy() for c in ("id", "label", "block"))
-        label = label.copy()
-        n = rows.column("n").to_numpy().astype(float)
-        regs = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        pairs = _Pairs(rows, num, den)
+        ids, label = pairs.ids, pairs.label
         value, first = shingle_sets(*text_buffers(rows.column("text").combine_chunks()), k)
-        bi, bj = rows.column("bi")[0].as_py(), rows.column("bj")[0].as_py()
-        left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
         out = []
-        for x in left:
-            y = right[(label[right] != label[x]) & (np.minimum(n[right], n[x]) >= share * np.maximum(n[right], n[x]))]
-            if bi == bj:
-                y = y[ids[y] > ids[x]]
-            y = y[(regs[y] == regs[x]).sum(axis=1) >= (floor - 0.1) * REGISTERS]
-            if not len(y):
-                continue
-            guess = estimate(np.broadcast_to(regs[x], (len(y), REGISTERS)), regs[y], np.full(len(y), n[x]), n[y])
+        for x in pairs.left:
             mine = value[first[x] : first[x + 1]]
-            for z in y[np.argsort(-guess)][: int((guess >= floor).sum())]:
+            for z in pairs.partners(x):
                 if label[z] == label[x]:
                     continue
                 other = value[first[z] : first[z + 1]]
@@ -182,16 +238,21 @@ def _links(k: int, num: int, den: int):
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """Per row: id, n_shingles, component_id (the least id that links reach), kept (it is its component's least)."""
-    d = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = cut(d.mapInArrow(_sketch_rows(k), "id long, n long, s1 long, s2 long, sketch binary"))
-    classes = cut(rows.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    # `key` tells apart texts that share an id
+    d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("key"))
+    rows = cut(d.mapInArrow(_sketch_rows(k), f"id {kind}, key long, n long, s1 long, s2 long, sketch binary"))
+    classes = rows.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "key")).alias("of"), F.first("sketch").alias("sketch"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * ROWS * 2 + 1, ROWS * 2)) for i in range(REGISTERS // ROWS)])
     spread = classes.select("id", F.explode(bands).alias("bucket"))
     pivots = cut(spread.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1"))
     met = cut(spread.join(small(pivots.select("bucket", "pivot")), "bucket").where("id <> pivot"))
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        return cut(d.join(small(cut(ids.distinct())), "id").groupBy("id").agg(F.min("text").alias("text")))
+        wanted = small(cut(classes.select("id", F.col("of.id").alias("_id"), F.col("of.key").alias("key")).join(ids.distinct(), "id")))
+        same = d.withColumnRenamed("id", "_id").join(wanted, ["_id", "key"])
+        return cut(same.groupBy("id").agg(F.min("text").alias("text")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs.distinct())
@@ -204,11 +265,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     named = met.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
     open_ = cut(named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"))
     if not open_.isEmpty():
-        left = cut(named.join(small(open_), "bucket"))
-        left = left.join(classes.select("id", "n", "sketch"), "id").join(texts_of(left.select("id")), "id")
-        more = blocked(left, "bucket", F.col("id"), _BLOCK).groupBy("bucket", "bi", "bj").applyInArrow(_links(k, num, den), "a long, b long")
+        left = cut(named.join(small(open_), "bucket").join(classes.select("id", "n", "sketch"), "id"))
+        near = _blocks(left).groupBy("bucket", "a", "b").applyInArrow(_near(num, den), "bucket long, id long")
+        near = cut(near.distinct())
+        left = left.join(small(near), ["bucket", "id"]).join(texts_of(near.select("id")), "id")
+        more = _blocks(cut(left), F.octet_length("text")).groupBy("bucket", "a", "b").applyInArrow(_links(k, num, den), "a long, b long")
         labels = components(cut(edges.union(more)))
-    member = classes.join(labels, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
+    least = cut(classes.join(labels, "id").groupBy("component").agg(F.min("of.id").alias("least")))
+    member = classes.join(labels.join(small(least), "component"), "id", "left").select("n", "s1", "s2", F.coalesce("least", "of.id").alias("component"))
+    of = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return rows.join(member, ["n", "s1", "s2"], "left").select(
-        F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept")
+        F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), of.alias("component_id"), F.coalesce(of == F.col("id"), F.lit(True)).alias("kept")
     )

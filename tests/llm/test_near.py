@@ -61,6 +61,39 @@ def test_pairs_around_the_threshold(spark):
     assert rows_of(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))) == brute(docs)
 
 
+def test_blocks_of_hot_buckets(spark, monkeypatch):
+    """Tiny blocks, so that buckets need many pairs of them; one component fills blocks of its own."""
+    import random
+
+    from graphquarry.llm import near
+
+    monkeypatch.setattr(near, "_BLOCK", 4)
+    monkeypatch.setattr(near, "_BLOCK_BYTES", 3000)
+    rng = random.Random(5)
+    base, docs = [f"w{i}" for i in range(150)], []
+    for i in range(90):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 4, 6])):
+            words[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(words)))
+    assert rows_of(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+    rows = spark.createDataFrame([(1, 7, i) for i in range(40)] + [(1, 100 + i, 100 + i) for i in range(5)], "bucket long, label long, id long")
+    dealt = near._blocks(rows).collect()
+    tasks = {}
+    for r in dealt:
+        tasks.setdefault((r.a, r.b), []).append(r)
+    met = {frozenset((x.id, y.id)) for t in tasks.values() for x in t for y in t if x.label != y.label}
+    assert met == {frozenset((x.id, y.id)) for x in dealt for y in dealt if x.label != y.label}
+    assert max(map(len, tasks.values())) < 40
+
+
+def test_texts_that_share_an_id_and_string_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = [("k", a), ("k", b), ("m", a + " z"), ("n", b + " z"), ("c", a), (None, a)]
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id string, text string")).collect()
+    assert sorted((r.doc_id or "", r.component_id or "", r.kept) for r in got) == [("", "", True), ("c", "c", True), ("k", "c", False), ("k", "k", True), ("m", "c", False), ("n", "k", False)]
+
+
 def test_docstring_states_the_odds_of_a_miss():
     from math import comb
 
