@@ -6,12 +6,14 @@ blocks of a label meet if their boxes, in the projection, are no further apart t
 distances, so no link is lost. In a task a pair of intervals is halved again and again, halves that are provably
 apart are skipped, and small intervals are multiplied out in double precision.
 
-Equal vectors of a label are one class from the start and are counted, not compared. The directions come from a
-sample of about `sample` vectors; they decide speed only.
+Equal vectors of a label are one class from the start, numbered, counted, and not compared. The directions come from
+a sample of about `sample` vectors; they decide speed only. A block is bounded in rows and in bytes.
 
 Defined cases: vectors that are null, zero, empty, or hold null or non-finite components, and those without label,
-have no links and are kept; so have rows without id. Vectors of different length are never compared. Every row is
-returned; an empty table gives no rows. Columns other than id, vector and label are ignored.
+have no links and are kept; so have rows without id. Vectors of different length are never compared, long ones fill
+smaller blocks. Rows that repeat an id are judged each by its own vector; a component is named by its least id. Ids
+may be of any type that can be ordered. Every row is returned; an empty table gives no rows. Columns other than id,
+vector and label are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import cut
 from .near import components
 
-BLOCK, LEAF = 4096, 256
+BLOCK, LEAF = 8192, 256
+BLOCK_BYTES = 4 << 20
 _BLOCKS = "block long, label string, dim int, lo array<double>, hi array<double>, ids binary, copies binary, vecs binary, proj binary"
 
 
@@ -35,7 +38,7 @@ def _directions(classes: DataFrame, dims: int, sample: int) -> dict[int, np.ndar
     """Principal directions for the commonest vector length; other lengths use their first coordinates."""
     count = classes.count()
     share = min(1.0, sample / max(count, 1))
-    hashed = F.xxhash64("id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    hashed = F.col("h1").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     rows = [r[0] for r in classes.where(hashed < share).select("v").collect()]
     if not rows:
         return {}
@@ -132,31 +135,37 @@ def near_vectors(
     """Per row: id, n_links, component_id, kept."""
     v = F.col("v")
     good = F.col("id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"), F.col(label).cast("string").alias("label"))
-    rows = cut(rows.select("id", F.when(F.coalesce(good, F.lit(False)), v).alias("v"), "label").withColumn("key", F.when(F.col("v").isNotNull(), F.struct("label", "v"))))
-    classes = cut(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "copies", "key.label", "key.v"))
+    rows = vectors.select(F.col(vec_id).alias("id"), F.col(embedding).cast("array<double>").alias("v"), F.col(label).cast("string").alias("label"))
+    # two hashes name label and vector; rows that link with nothing have the first alone, spread by their ids
+    rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
+    rows = rows.withColumn("h1", F.when(F.col("good"), F.xxhash64("label", "v")).otherwise(F.xxhash64("id"))).withColumn("h2", F.when(F.col("good"), F.xxhash64(F.lit(1), "v", "label")))
+    rows = cut(rows.select("id", "h1", "h2", "label", F.when(F.col("good"), v).alias("v")))
+    classes = rows.where("h2 is not null").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     eps = math.sqrt(2 - 2 * cosine) + 1e-6
     shared = vectors.sparkSession.sparkContext.broadcast(_directions(classes, dims, sample))
 
     def place(batches):
         for batch in batches:
-            lists = batch.column("v").to_pylist()
-            out = []
-            for x in lists:
-                unit = _units(np.array([x], float))[0]
-                way = shared.value.get(len(x))
-                p = unit @ way if way is not None else unit[:dims]
-                out.append(np.concatenate([p, np.zeros(dims - len(p))]))
-            p = np.array(out).reshape(-1, dims)
+            lists = batch.column("v")
+            values, first = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            sizes = np.diff(first)
+            p, raw = np.zeros((len(batch), dims)), [b""] * len(batch)
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                m = values[first[:-1][at][:, None] + np.arange(size)]
+                way, unit = shared.value.get(int(size)), _units(m)
+                p[at, : min(dims, size)] = unit @ way if way is not None else unit[:, :dims]
+                for i, x in zip(at, m):
+                    raw[i] = x.tobytes()
             cells = np.floor(p / eps).astype(np.int32)
-            raw = [np.array(x, float).tobytes() for x in lists]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("copies"), batch.column("label"), pa.array([len(x) for x in lists], pa.int32()), pa.array(raw, pa.binary()), pa.array([x.tobytes() for x in p], pa.binary()), pa.array(list(cells), pa.list_(pa.int32()))],
+                [batch.column("id"), batch.column("copies"), batch.column("label"), pa.array(sizes.astype(np.int32)), pa.array(raw, pa.binary()), pa.array([x.tobytes() for x in p], pa.binary()), pa.array(list(cells), pa.list_(pa.int32()))],
                 names=["id", "copies", "label", "dim", "vec", "proj", "cell"],
             )
 
     order = ["label", "dim", "cell", "id"]
-    placed = classes.mapInArrow(place, "id long, copies long, label string, dim int, vec binary, proj binary, cell array<int>").repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = classes.select("id", "copies", "label", "v").mapInArrow(place, "id long, copies long, label string, dim int, vec binary, proj binary, cell array<int>").repartitionByRange(*order).sortWithinPartitions(*order)
 
     def pack(batches):
         number = TaskContext.get().partitionId() << 33
@@ -175,7 +184,7 @@ def near_vectors(
 
         for batch in batches:
             for r in zip(*(batch.column(c).to_pylist() for c in ("id", "copies", "label", "dim", "vec", "proj"))):
-                if held and (len(held) >= BLOCK or key != (r[2], r[3])):
+                if held and (len(held) >= min(BLOCK, max(BLOCK_BYTES // (8 * r[3]), 1)) or key != (r[2], r[3])):
                     yield block()
                     held = []
                 key = (r[2], r[3])
@@ -199,8 +208,11 @@ def near_vectors(
     found = cut(met.mapInArrow(_pairs(cosine, eps), "a long, n long, b long"))
     labels = components(found)
     links = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-    classed = classes.select("id", "copies", F.struct("label", "v").alias("key")).join(links, "id", "left").join(labels, "id", "left")
-    classed = classed.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    return rows.join(classed, "key", "left").select(
+    numbered = classes.select("id", "h1", "h2", "copies", "least")
+    named = numbered.join(labels, "id")
+    named = named.select("id", "component").join(named.groupBy("component").agg(F.min("least").alias("top")), "component").select("id", "top")
+    classed = numbered.join(links, "id", "left").join(named, "id", "left")
+    classed = classed.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("top", "least").alias("component"))
+    return rows.select("id", "h1", "h2").join(classed, ["h1", "h2"], "left").select(
         F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept")
     )

@@ -149,6 +149,24 @@ def test_vectors_in_dense_groups_and_odd_rows(spark, monkeypatch):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_that_share_an_id_and_string_ids(spark):
+    rows = [("5", [1.0, 0.0]), ("5", [0.0, 1.0]), ("2", [0.05, 1.0]), ("9", [1.0, 0.05]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id string, embedding array<double>, label string")
+    got = sorted((r.vec_id or "", r.n_links, r.component_id or "", r.kept) for r in near_vectors(df).collect())
+    assert got == [("", 0, "", True), ("2", 1, "2", True), ("5", 1, "2", False), ("5", 1, "5", True), ("9", 1, "5", False)]
+
+
+def test_vectors_of_64_dimensions_with_a_hot_label(spark, monkeypatch):
+    monkeypatch.setattr("graphquarry.llm.vectors.BLOCK_BYTES", 64 * 8 * 100)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 64))
+    rows = [(i, (centres[i % 60] + rng.normal(size=64) * (0.05 + 0.3 * (i % 3 == 0))).tolist(), "hot" if i % 5 else str(i % 7)) for i in range(900)]
+    rows += [(2000 + i, rng.normal(size=64).tolist(), "hot") for i in range(300)] + [(3000, [1.0] * 5000, "hot"), (3001, [1.0] * 5000, "hot")]
+    want = brute_vectors(rows)
+    assert sum(n > 0 for n, _, _ in want.values()) > 500 and sum(n == 0 for n, _, _ in want.values()) > 300
+    assert vector_rows(near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"))) == want
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://A.Example.COM/en/x?y", "http://www.example.com/en/", "http://example.com", "x://q.net/es/1#f", "http://notexample.org/?a://b.com/", "http://enet/es/"]
     df = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, rule string")
