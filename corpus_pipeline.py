@@ -1,8 +1,9 @@
 """A corpus pipeline: language, near copies, benchmark passages, secrets, mixture.
 
-Every stage takes documents and returns documents of the same columns; the last adds the mixture's columns. A row
-is judged by its own text, whatever its id: stages that drop rows number them first. Of near copies, and of rows that
-repeat both id and text, that of the least id stays (one without id only where none has an id).
+Every stage takes documents and returns documents with all their columns; the last adds the mixture's columns (size,
+source_size, target, copies, taken). A row is judged by its own text, whatever its id: stages that drop rows number
+them first. Of near copies, and of rows that repeat both id and text, that of the least id stays (one without id only
+where none has an id). Columns that are named like a stage's own are kept; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -12,44 +13,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphquarry.llm.common import new_folder
+from graphquarry.llm.common import free_name, new_folder
 from graphquarry.llm.decontaminate import contamination
 from graphquarry.llm.language import UNDETERMINED, identify
-from graphquarry.llm.mix import mixture
+from graphquarry.llm.mix import mixed
 from graphquarry.llm.near import near_duplicates
 from graphquarry.llm.secrets import redact
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _numbered(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
-    """`docs` with a number for each row in `_row`, written once so that every reader sees the same numbers."""
-    folder = new_folder(spark, name)
-    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(folder)
-    return spark.read.parquet(folder)
+def _numbered(spark: SparkSession, docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """`docs` with a number for each row, written once so that every reader sees the same numbers, and that column's name."""
+    folder, row = new_folder(spark, name), free_name(docs, "_row")
+    docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(folder)
+    return spark.read.parquet(folder), row
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that could be told."""
-    return identify(docs).where(F.col("lang_pred") != UNDETERMINED).drop("lang_pred", "score")
+    found = identify(docs)
+    return found.where(F.col(found.columns[-2]) != UNDETERMINED).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the least id. Texts without words are copies only of equal rows."""
-    rows = _numbered(spark, docs, "near-rows")
-    found = near_duplicates(rows, doc_id="_row").select("_row", F.col("n_shingles") > 0, "component_id").toDF("_row", "words", "component")
+    rows, row = _numbered(spark, docs, "near-rows")
+    found = near_duplicates(rows, doc_id=row).select(F.col(row), F.col("n_shingles") > 0, "component_id").toDF("row", "words", "component")
     wordless = F.when(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.col("text")).alias("text")
-    groups = rows.select("_row", "doc_id", wordless).join(found, "_row").groupBy("words", F.when(F.col("words"), F.col("component")), F.when(~F.col("words"), F.col("doc_id")), "text")
-    kept = groups.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("least")).select("least._row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    groups = rows.select(F.col(row).alias("row"), "doc_id", wordless).join(found, "row").groupBy("words", F.when(F.col("words"), F.col("component")), F.when(~F.col("words"), F.col("doc_id")), "text")
+    kept = groups.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")).select(F.col("least.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no more of the benchmark than the contract allows."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = _numbered(spark, docs, "decontaminate-rows")
-    bad = contamination(rows, items, doc_id="_row").where("contaminated").select("_row")
-    return rows.join(bad, "_row", "left_anti").select(*docs.columns)
+    rows, row = _numbered(spark, docs, "decontaminate-rows")
+    bad = contamination(rows, items, doc_id=row).where("contaminated").select(row)
+    return rows.join(bad, row, "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +60,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mixture takes, and how often: copies and words taken beside the documents' columns."""
-    return mixture(docs).where("copies > 0").select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    """The documents that the mixture takes, whole, and how often: its columns stand beside the documents' own."""
+    rows, row = _numbered(spark, docs, "mixing-rows")
+    found = mixed(rows, row)
+    return found.where(F.col(found.columns[-2]) > 0).drop(row)
 
 
 STAGES: list[tuple[str, Stage]] = [
