@@ -4,8 +4,10 @@ import re
 from test_near import SCHEMA, brute
 from test_secrets import plain_redacted
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from graphquarry.llm.mix import mixture
+from graphquarry.llm.mix import mixed
 
 
 def words(text):
@@ -40,8 +42,10 @@ def check(spark, tmp_path, docs, items):
         left = stage(spark, left, str(tmp_path))
     assert left.columns == docs.columns
     assert sorted(map(repr, left.collect())) == sorted(map(repr, want.collect()))
-    mixed = mixture(want).where("copies > 0").select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
-    assert sorted(map(repr, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(repr, mixed.collect()))
+    taken = mixed(want.withColumn("_row", F.monotonically_increasing_id()), "_row").where("copies > 0").drop("_row")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == [*docs.columns, "size", "source_size", "target", "copies", "taken"]
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, taken.collect()))
 
 
 def test_pipeline_equals_plain_versions(spark, sf_dir, tmp_path):
@@ -66,3 +70,14 @@ def test_repeated_rows_without_words_stay_once(spark, tmp_path):
     docs = spark.createDataFrame([(1, None), (1, None), (1, ""), (2, ""), (None, " "), (None, " ")], "doc_id long, text string")
     left = corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()
     assert sorted(map(repr, map(tuple, left))) == sorted(map(repr, [(1, None), (1, ""), (2, ""), (None, " ")]))
+
+
+def test_stages_keep_columns_of_their_own_names_and_empty_tables(spark, tmp_path):
+    extra = ("score", "lang_pred", "component_id", "contaminated", "base", "copies", "_row")
+    docs = spark.createDataFrame([(1, "the cat and the dog " * 4, "en", "web", 96, *extra)], f"{SCHEMA}, " + ", ".join(f"{c} string" for c in extra))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            left = stage(spark, table, str(tmp_path))
+            assert left.columns[: len(docs.columns)] == docs.columns, name
+            assert [tuple(r)[: len(docs.columns)] for r in left.collect()] == [tuple(r) for r in table.collect()], name
