@@ -10,8 +10,9 @@ inside the strings <s>, </s>, [INST], [/INST] (and before a role's line feeds),
 each character takes it back. The loss mask covers the texts of assistant turns, nothing else.
 
 Defined cases: null texts and roles are empty; messages whose parent is missing or null are roots; equal scores
-rank by leaf id; messages in a cycle reach no root and are on no path; ids are unique in a conversation. An empty
-table gives no rows; other columns are ignored.
+rank by leaf id; messages in a cycle reach no root and are on no path; ids are unique in a conversation. Flat rows
+without conversation id are one conversation of their own; null turns come last, repeated rows stay. An empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -109,9 +110,12 @@ def conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
 
 
 def chains(rows: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """Messages (conv, id, parent, role, text, score) of flat conversations: each turn answers the one before it."""
+    """Messages (conv, id, parent, role, text, score) of flat conversations: each turn answers the one before it.
+
+    conv is the id as text after an equals sign, and empty where the id is null.
+    """
     order = Window.partitionBy("conv").orderBy(F.col(turn).asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    d = rows.select(F.coalesce(F.col(conv_id).cast("string"), F.lit("")).alias("conv"), F.col(turn), "role", "text")
+    d = rows.select(F.coalesce(F.concat(F.lit("="), F.col(conv_id).cast("string")), F.lit("")).alias("conv"), F.col(turn), "role", "text")
     d = d.withColumn("id", F.row_number().over(order).cast("long"))
     return cut(d.select("conv", "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,14 +78,29 @@ def mapped_folder(spark: SparkSession, name: str) -> str:
     return folder
 
 
-_maps: dict[str, np.ndarray | None] = {}
+#: So many files a process keeps mapped; a system lets it map some ten thousands.
+MAPS = 4096
+_maps: OrderedDict[str, np.ndarray | None] = OrderedDict()
 
 
-def mapped(path: str) -> np.ndarray | None:
-    """The memory-mapped array of a file, or None if there is none; kept for the life of the process."""
-    if path not in _maps:
-        _maps[path] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
-    return _maps[path]
+def mapped(path: str, kind: type | None = None) -> np.ndarray | None:
+    """The memory-mapped array of a file (of bare numbers of a kind, or written by `save`), or None if there is none.
+
+    The `MAPS` files that were asked for last stay mapped.
+    """
+    if path in _maps:
+        _maps.move_to_end(path)
+        return _maps[path]
+    if not os.path.exists(path):
+        found = None
+    elif kind is None:
+        found = np.load(path, mmap_mode="r")
+    else:
+        found = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+    _maps[path] = found
+    if len(_maps) > MAPS:
+        _maps.popitem(last=False)
+    return found
 
 
 def save(path: str, values: np.ndarray) -> None:

@@ -9,8 +9,10 @@ Items shorter than `span` words are one window of their own length; for each suc
 of exactly that many words are looked up, so short items are found as surely as long ones.
 
 Defined cases: null and empty texts have no words, no hits, and are not contaminated. An item without words has
-no window. Items with a null id are not named. Rows that repeat an id and a text give equal rows, one for each.
-Other columns of either table are ignored, whatever their names.
+no window. Items with a null id are not named. Rows that repeat an id and a text give equal rows, one for each; rows
+of one id and different texts, and rows without id, are judged each by its own text. Ids are whole numbers. Very long
+texts are read whole. Other columns of either table are ignored, whatever their names. An empty benchmark hits
+nothing; an empty table of documents gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from .words import ALNUM, U64, Words, grams, mix, slices, text_buffers
 
 _CHUNK = 4 << 20
 _MAP_BITS = 1 << 22
+_PART_BITS = 1 << 15  # of a bitmap that Spark builds
 _SIDE = "id long, n_words long, text_key long, base boolean, at int, size int, fp long, left array<long>, right array<long>"
 _ARROW = pa.schema(
     [("id", pa.int64()), ("n_words", pa.int64()), ("text_key", pa.int64()), ("base", pa.bool_()), ("at", pa.int32()), ("size", pa.int32()), ("fp", pa.int64()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))]
@@ -116,6 +119,24 @@ def _sides(batch: pa.RecordBatch, k: int, span: int, lengths, item_side: bool, b
         )
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans in order, those that overlap or touch as one, and the number of words in them."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    for batch in batches:
+        out, hits = [], []
+        for spans in batch.column("spans").to_pylist():
+            merged: list[dict[str, int]] = []
+            for s in sorted(spans, key=lambda s: s["start"]):
+                if merged and merged[-1]["end"] >= s["start"]:
+                    merged[-1]["end"] = max(merged[-1]["end"], s["end"])
+                else:
+                    merged.append(s)
+            out.append(merged)
+            hits.append(sum(s["end"] - s["start"] for s in merged))
+        columns = {name: batch.column(name) for name in batch.schema.names} | {"spans": pa.array(out, kind), "n_hit": pa.array(hits, pa.int64())}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -143,13 +164,16 @@ def contamination(
         .distinct()
     )
     short = tuple(sorted(r[0] for r in item_side.where("size > 0").select("size").distinct().collect()))
-    # one bit for each fingerprint modulo a fixed number: bounded whatever the size of the benchmark
-    packed = np.zeros(_MAP_BITS, dtype=bool)
-    packed[[r[0] for r in item_side.select(F.col("fp").bitwiseAND(F.lit(_MAP_BITS - 1))).distinct().collect()]] = True
-    shared = spark.sparkContext.broadcast(np.packbits(packed))
+    # one bit for each fingerprint modulo a fixed number, set in the JVM: half a megabyte whatever the size of the benchmark
+    place = F.col("fp").bitwiseAND(F.lit(_MAP_BITS - 1)) + 1
+    parts = item_side.groupBy(F.bitmap_bucket_number(place).alias("nth")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    packed = np.zeros((_MAP_BITS // _PART_BITS, _PART_BITS // 8), np.uint8)
+    for nth, bits in parts:
+        packed[nth - 1] = np.frombuffer(bits, np.uint8)
+    shared = spark.sparkContext.broadcast(packed.ravel())
 
     def doc_rows(batches):
-        bitmap = np.unpackbits(shared.value).astype(bool)
+        bitmap = np.unpackbits(shared.value, bitorder="little").astype(bool)
         for batch in batches:
             yield from _sides(batch, k, span, short, False, bitmap)
 
@@ -163,23 +187,16 @@ def contamination(
     start = F.when(F.col("size") > 0, F.col("at")).otherwise(F.col("at") - F.col("l"))
     end = F.when(F.col("size") > 0, F.col("at") + F.col("size")).otherwise(F.col("at") + F.lit(k) + F.col("r"))
     found = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
-    merged = F.expr(
-        "aggregate(array_sort(spans), cast(array() as array<struct<start:int,end:int>>), (acc, s) -> "
-        "case when size(acc) > 0 and element_at(acc, -1).end >= s.start "
-        "then concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, s.end)))) "
-        "else concat(acc, array(s)) end)"
+    kind = "id long, n_words long, copies long, spans array<struct<start:int,end:int>>, item_ids array<string>"
+    grouped = joined.groupBy("id", "text_key").agg(
+        F.max("n_words").alias("n_words"),
+        F.sum(F.col("base").cast("int")).alias("copies"),
+        F.collect_set(F.when(whole, found)).alias("spans"),
+        F.array_sort(F.collect_set(F.when(whole, F.col("item").cast("string")))).alias("item_ids"),
     )
     return (
-        joined.groupBy("id", "text_key")
-        .agg(
-            F.sum(F.col("base").cast("int")).alias("copies"),
-            F.max("n_words").alias("n_words"),
-            F.collect_set(F.when(whole, found)).alias("spans"),
-            F.collect_set(F.when(whole, F.col("item").cast("string"))).alias("item_ids"),
-        )
-        .withColumn("spans", merged)
-        .withColumn("n_hit", F.expr("aggregate(spans, 0L, (acc, s) -> acc + (s.end - s.start))"))
-        .withColumn("item_ids", F.array_sort("item_ids"))
+        grouped.select("id", "n_words", "copies", "spans", "item_ids")
+        .mapInArrow(_merged, f"{kind}, n_hit long")
         .withColumn("n_items", F.size("item_ids").cast("long"))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))

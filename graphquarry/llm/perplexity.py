@@ -2,18 +2,24 @@
 
 Tokens are words, then one end; a begin mark stands before each text. Workers count bigrams of whole texts and send
 them on by leading bits of the bigram's hash, packed by shard, so that no word or bigram, however common, makes a
-shard large; the number of shards follows the size of the text. Whoever gets a shard adds its counts up, writes them
-as a sorted array of 64-bit hashes to the shared folder, and passes on the words' and contexts' sums, which Spark
-adds up and writes likewise. Scoring workers memory-map the shards and look words up by binary search. Nothing but
-a dozen totals reaches the driver. A task that runs again writes the same files again.
+shard large; the number of shards follows the size of the text. Neighbouring shards form a volume, which one task
+gets: it adds up one shard after the other, appends them to the volume's sorted array of 64-bit hashes in the shared
+folder, and passes on the words' and contexts' sums, which Spark adds up and writes likewise. There are never more
+than some thousands of volumes. Scoring workers memory-map volumes, the last used ones only, and look words up by
+binary search, one volume after the other. Nothing but a dozen totals reaches the driver. A task that runs again
+writes the same files again.
 
 Defined cases: null text is empty and scores its end token; texts that were not learned from are scored alike; if
 nothing was learned, all words are unknown and every token scores log10(1). Rows are scored one by one, so repeats
-stay; an empty table gives no rows. Columns other than id and text are ignored.
+stay; very long texts are learned and scored whole; an empty table gives no rows. Columns other than id and text are
+ignored.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +31,9 @@ from .words import SPACED, U64, Words, mix, slices, text_buffers
 BEGIN, END = U64(0x0123456789ABCDEF), U64(0xFEDCBA9876543210)
 SHARD_ROWS = 1 << 21
 SHARD_BYTES = 12 << 20
+VOLUME_BYTES = 48 << 20
+VOLUME_BITS = 13  # at most
+_WIDE = (1 << 16) - 1  # counts from here on stand in a list of their own
 _HELD = 1 << 22
 _CHUNK = 4 << 20
 _WORDS = ("hash", "c", "cont", "total", "n1", "n2", "n3")
@@ -72,6 +81,20 @@ def _narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(np.min_scalar_type(int(values.max())))
 
 
+def _squeezed(keys: np.ndarray) -> tuple[bytes, int]:
+    """Sorted keys as differences in as few bytes each as the largest needs."""
+    gaps = np.diff(keys, prepend=U64(0))
+    width = max(1, -(-int(gaps.max()).bit_length() // 8))
+    return gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), width
+
+
+def _unsqueezed(data: bytes, width: int) -> np.ndarray:
+    narrow = np.frombuffer(data, np.uint8).reshape(-1, width)
+    gaps = np.zeros((len(narrow), 8), np.uint8)
+    gaps[:, :width] = narrow
+    return np.cumsum(gaps.view(U64).ravel(), dtype=U64)
+
+
 def _packed(held, bits: int) -> pa.RecordBatch:
     """A row for each shard: keys, the distinct contexts, the context of each key, counts."""
     key, previous, n = _merge(held)
@@ -81,11 +104,16 @@ def _packed(held, bits: int) -> pa.RecordBatch:
     for a, b in zip(starts, [*starts[1:], len(key)]):
         contexts, of = np.unique(previous[a:b], return_inverse=True)
         of, counts = _narrow(of), _narrow(n[a:b])
-        rows.append((int(shard[a]), key[a:b].tobytes(), contexts.tobytes(), of.tobytes(), of.itemsize, counts.tobytes(), counts.itemsize))
+        # the shard's own bits are left out, so that the first difference is no longer than the others
+        rest = key[a:b] & U64((1 << (64 - bits)) - 1)
+        rows.append((int(shard[a]), *_squeezed(rest), *_squeezed(contexts), of.tobytes(), of.itemsize, counts.tobytes(), counts.itemsize))
     return pa.RecordBatch.from_pylist([dict(zip(_PACK.names, r)) for r in rows], schema=_PACK)
 
 
-_PACK = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("contexts", pa.binary()), ("of", pa.binary()), ("of_width", pa.int32()), ("n", pa.binary()), ("n_width", pa.int32())])
+_PACK = pa.schema(
+    [("shard", pa.int32()), ("keys", pa.binary()), ("keys_width", pa.int32()), ("contexts", pa.binary()), ("contexts_width", pa.int32()), ("of", pa.binary()), ("of_width", pa.int32()), ("n", pa.binary()), ("n_width", pa.int32())]
+)
+_PACKED = "shard int, keys binary, keys_width int, contexts binary, contexts_width int, of binary, of_width int, n binary, n_width int"
 
 
 def _count(bits: int):
@@ -106,14 +134,32 @@ def _count(bits: int):
     return rows
 
 
-def _add_up(folder: str):
-    """From packed rows in order of shard: write each shard, and pass on the sums of its words and contexts."""
+class _Volume:
+    """Files of sorted keys and their counts, to which shards are appended; readers see them when all are written."""
+
+    def __init__(self, folder: str, number: int):
+        self.path, self.mark, self.rows = f"{folder}/pairs-{number}", uuid.uuid4().hex, 0
+        self.files = {kind: open(f"{self.path}.{kind}.{self.mark}", "wb") for kind in ("keys", "counts")}
+        self.wide: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def append(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.files["keys"].write(keys.tobytes())
+        self.files["counts"].write(np.minimum(counts, _WIDE).astype(np.uint16).tobytes())
+        at = np.flatnonzero(counts >= _WIDE)
+        self.wide.append((at + self.rows, counts[at]))
+        self.rows += len(keys)
+
+    def close(self) -> None:
+        save(f"{self.path}.wide.npy", np.array([np.concatenate(x) for x in zip(*self.wide)], np.int64))
+        for kind, file in self.files.items():
+            file.close()
+            os.replace(file.name, f"{self.path}.{kind}")
+
+
+def _add_up(folder: str, bits: int, volume_bits: int):
+    """From packed rows in order of shard: write each volume, and pass on the sums of its words and contexts, shard by shard."""
 
-    def finish(shard, held):
-        key, previous, n = _merge(held)
-        save(f"{folder}/pairs-key-{shard}.npy", key)
-        save(f"{folder}/pairs-c-{shard}.npy", _narrow(n))
-        out = []
+    def sums(key, previous, n):
         for of, masks in (
             (key - previous * _CONTEXT, {"c": n, "cont": np.ones_like(n)}),
             (previous, {"total": n, "n1": n == 1, "n2": n == 2, "n3": n >= 3, "x3": n == 3, "x4": n == 4}),
@@ -121,21 +167,33 @@ def _add_up(folder: str):
             order = np.argsort(of, kind="stable")
             of = of[order]
             starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            sums = {name: np.add.reduceat(m[order].astype(np.int64), starts) for name, m in masks.items()}
+            found = {name: np.add.reduceat(m[order].astype(np.int64), starts) for name, m in masks.items()}
             none = np.zeros(len(starts), np.int64)
-            out.append(pa.RecordBatch.from_arrays([pa.array(of[starts].view(np.int64)), *[pa.array(sums.get(x, none)) for x in _SUMS[1:]]], names=_SUMS))
-        return out
+            yield pa.RecordBatch.from_arrays([pa.array(of[starts].view(np.int64)), *[pa.array(found.get(x, none)) for x in _SUMS[1:]]], names=_SUMS)
 
     def rows(batches):
-        held, size, at = [], 0, None
+        held, size, at, volume = [], 0, None, None
+
+        def finish():
+            key, previous, n = _merge(held)
+            volume.append(key, n)
+            yield from sums(key, previous, n)
+
         for batch in batches:
             for r in range(len(batch)):
                 get = lambda name: batch.column(name)[r].as_py()  # noqa: E731, B023
-                if get("shard") != at and held:
-                    yield from finish(at, held)
-                    held, size = [], 0
-                at = get("shard")
-                keys, contexts = np.frombuffer(get("keys"), U64), np.frombuffer(get("contexts"), U64)
+                shard = get("shard")
+                if shard != at:
+                    if held:
+                        yield from finish()
+                        held, size = [], 0
+                    if volume is None or shard >> (bits - volume_bits) != at >> (bits - volume_bits):
+                        if volume is not None:
+                            volume.close()
+                        volume = _Volume(folder, shard >> (bits - volume_bits))
+                    at = shard
+                keys = _unsqueezed(get("keys"), get("keys_width")) + U64((at << (64 - bits)) if bits else 0)
+                contexts = _unsqueezed(get("contexts"), get("contexts_width"))
                 of, n = (np.frombuffer(get(x), f"u{get(x + '_width')}") for x in ("of", "n"))
                 held.append((keys, contexts[of], n.astype(np.int64)))
                 size += len(keys)
@@ -143,41 +201,70 @@ def _add_up(folder: str):
                     held = [_merge(held)]
                     size = len(held[0][0]) // 2
         if held:
-            yield from finish(at, held)
+            yield from finish()
+            volume.close()
 
     return rows
 
 
 def _write(df: DataFrame, key: str, names, folder: str, table: str, rows: int) -> int:
-    """Write sorted shards of a table; the number of leading bits that name a shard."""
-    bits = max(0, (rows // SHARD_ROWS).bit_length())
+    """Write sorted shards of a table, keys and all other columns side by side; the number of leading bits that name a shard."""
+    bits = min(max(0, (rows // SHARD_ROWS).bit_length()), VOLUME_BITS)
     shard = F.shiftrightunsigned(F.col(key), 64 - bits).cast("int") if bits else F.lit(0)
 
     def put(part: pa.Table) -> pa.Table:
         number = part.column("_shard")[0].as_py()
         keys = part.column(key).to_numpy().view(U64)
         order = np.argsort(keys)
-        for name in names:
-            save(f"{folder}/{table}-{name}-{number}.npy", _narrow(part.column(name).to_numpy()[order]) if name != key else keys[order])
+        columns = [_narrow(part.column(name).to_numpy()[order]) for name in names if name != key]
+        save(f"{folder}/{table}-{number}.keys.npy", keys[order])
+        save(f"{folder}/{table}-{number}.npy", np.rec.fromarrays(columns))
         return pa.table({"shard": pa.array([number], pa.int32())})
 
     df.withColumn("_shard", shard).groupBy("_shard").applyInArrow(put, "shard int").count()
     return bits
 
 
-def _find(folder: str, table: str, key: str, names, bits: int, wanted: np.ndarray) -> list[np.ndarray]:
-    """Values by sorted keys; zero where a key is missing."""
-    out = [np.zeros(len(wanted), np.int64) for _ in names]
-    shards = (wanted >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(wanted), np.int64)
-    starts = np.flatnonzero(np.diff(shards, prepend=-1))
-    for a, b in zip(starts, [*starts[1:], len(wanted)]):
-        keys = mapped(f"{folder}/{table}-{key}-{shards[a]}.npy")
-        if keys is None:
-            continue
-        at = np.minimum(np.searchsorted(keys, wanted[a:b]), len(keys) - 1)
-        hit = keys[at] == wanted[a:b]
-        for o, name in zip(out, names):
-            o[a:b][hit] = mapped(f"{folder}/{table}-{name}-{shards[a]}.npy")[at[hit]]
+def _runs(wanted: np.ndarray, bits: int):
+    """(number, from, to) of the parts of sorted keys that share their leading bits."""
+    numbers = (wanted >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(wanted), np.int64)
+    starts = np.flatnonzero(np.diff(numbers, prepend=-1))
+    return zip(numbers[starts], starts, [*starts[1:], len(wanted)])
+
+
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the wanted are among sorted keys, the places of those)."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return hit, at[hit]
+
+
+def _find_words(folder: str, bits: int, wanted: np.ndarray) -> list[np.ndarray]:
+    """The words' columns by sorted hashes; zero where a word is missing."""
+    out = [np.zeros(len(wanted), np.int64) for _ in _WORDS[1:]]
+    for number, a, b in _runs(wanted, bits):
+        keys = mapped(f"{folder}/words-{number}.keys.npy")
+        if keys is not None:
+            hit, at = _at(keys, wanted[a:b])
+            found = mapped(f"{folder}/words-{number}.npy")[at]
+            for o, name in zip(out, found.dtype.names):
+                o[a:b][hit] = found[name]
+    return out
+
+
+def _find_pairs(folder: str, bits: int, wanted: np.ndarray) -> np.ndarray:
+    """Counts of bigrams by sorted hashes; zero where one is missing."""
+    out = np.zeros(len(wanted), np.int64)
+    for number, a, b in _runs(wanted, bits):
+        keys = mapped(f"{folder}/pairs-{number}.keys", U64)
+        if keys is not None:
+            hit, at = _at(keys, wanted[a:b])
+            found = mapped(f"{folder}/pairs-{number}.counts", np.uint16)[at].astype(np.int64)
+            wide = np.flatnonzero(found == _WIDE)
+            if len(wide):
+                places, counts = mapped(f"{folder}/pairs-{number}.wide.npy")
+                found[wide] = counts[np.searchsorted(places, at[wide])]
+            out[a:b][hit] = found
     return out
 
 
@@ -199,9 +286,12 @@ def score(docs: DataFrame, learn: DataFrame, *, doc_id: str = "doc_id", text: st
     spark = docs.sparkSession
     folder = mapped_folder(spark, "ngrams")
     size = learn.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    pair_bits = (size // SHARD_BYTES).bit_length()
-    packed = learn.select(F.col(text).alias("text")).mapInArrow(_count(pair_bits), "shard int, keys binary, contexts binary, of binary, of_width int, n binary, n_width int")
-    sums = packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_add_up(folder), ", ".join(f"{x} long" for x in _SUMS))
+    bits = (size // SHARD_BYTES).bit_length()
+    # enough volumes for all cores, and for a volume to be a small task; the rest of the shards' bits is inside them
+    volume_bits = min(bits, max((size // VOLUME_BYTES).bit_length(), spark.sparkContext.defaultParallelism.bit_length()), VOLUME_BITS)
+    packed = learn.select(F.col(text).alias("text")).mapInArrow(_count(bits), _PACKED)
+    dealt = packed.withColumn("volume", F.shiftright("shard", bits - volume_bits)).repartition(2 << volume_bits, "volume").sortWithinPartitions("shard").drop("volume")
+    sums = dealt.mapInArrow(_add_up(folder, bits, volume_bits), ", ".join(f"{x} long" for x in _SUMS))
     words = cut(sums.groupBy("hash").agg(*[F.sum(x).alias(x) for x in _SUMS[1:]]))
     all_of = words.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("n1", "n2", "x3", "x4", "c")], F.count(F.lit(1))).first()
     two, total, one = list(all_of[:4]), all_of[4], _of_counts(words.where("c > 0"), "cont")
@@ -215,11 +305,11 @@ def score(docs: DataFrame, learn: DataFrame, *, doc_id: str = "doc_id", text: st
             for part in slices(batch, "text", _CHUNK):
                 previous, token, first = _tokens(*text_buffers(part.column(1)))
                 hashes, where = np.unique(np.concatenate([token, previous]), return_inverse=True)
-                c, cont, totals, n1, n2, n3 = _find(folder, "words", "hash", _WORDS[1:], word_bits, hashes)
+                c, cont, totals, n1, n2, n3 = _find_words(folder, word_bits, hashes)
                 low = np.maximum(cont - d1[np.minimum(cont, 3)], 0) / max(types, 1) + spare / (known_words + 1)
                 back = np.where(totals > 0, (d2[1] * n1 + d2[2] * n2 + d2[3] * n3) / np.maximum(totals, 1), 1.0)
                 keys, of = np.unique(_pair(previous, token), return_inverse=True)
-                (seen,) = _find(folder, "pairs", "key", ("c",), pair_bits, keys)
+                seen = _find_pairs(folder, volume_bits, keys)
                 word, context, n = where[: len(token)], where[len(token) :], seen[of]
                 p = np.maximum(n - d2[np.minimum(n, 3)], 0) / np.maximum(totals[context], 1) + back[context] * low[word]
                 base = np.log10((c[word] + 1) / (total + known_words + 1))

@@ -76,7 +76,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], rows.schema)
     found = digests(conversations(chains(rows.union(more))))
-    conv = F.when(F.col("conv") != "", F.col("conv").cast(rows.schema["conv_id"].dataType))
+    conv = F.when(F.col("conv") != "", F.expr("substring(conv, 2)").cast(rows.schema["conv_id"].dataType))
     return found.select(conv.alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 

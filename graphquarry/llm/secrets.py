@@ -88,12 +88,12 @@ def _windows(string: str) -> str:
                 'last', if({high}, e, a.last)))[0])[0]))[0]"""
 
 
-def secret_spans(text: Column | str = "text") -> dict[str, Column]:
+def secret_spans(text: str = "text") -> dict[str, Column]:
     """The columns `base` and `added`: arrays of (start, kind, end), each in order; kind numbers index KINDS.
 
     Apply them one after the other to the same rows: `added` reads the column `base`.
     """
-    t = text if isinstance(text, str) else "text"
+    t = text
     words = " or ".join(f"contains(lower({t}), '{w}')" for w in ASSIGN_WORDS)
     assign = f"case when {words} then filter({_located(t, ASSIGN, 0, 2)}, x -> length(x.m) >= {ASSIGN_LEAST}) else {_EMPTY} end"
     access = f"case when contains({t}, 'AKIA') then filter({_located(t, ACCESS, 1)}, x -> length(x.m) >= {ACCESS_LEAST}) else {_EMPTY} end"

@@ -3,13 +3,14 @@
 The vocabulary is a trie over bytes. Each node has a failure link, the node to go on from when no edge fits, and the
 number of tokens that taking the link pops; both are computed once. Greedy longest-match lengths of a word then come
 from one pass over its bytes, and no piece is ever built. Distinct words of a batch go through the automaton side by
-side, one byte at a time.
+side, one byte at a time; the few that are longer than all others go on one by one.
 
 A word is a run of other characters than white space with the one space before it, or a run of white space that no
 word takes. Bytes where no token fits are one unknown token each.
 
-Defined cases: null and empty texts have no tokens; rows are counted one by one, so repeats stay; an empty table
-gives no rows. Columns other than id and text are ignored.
+Defined cases: null and empty texts have no tokens; rows are counted one by one, so repeats stay; very long words are
+counted whole, in time linear in their length; an empty table gives no rows. Columns other than id and text are
+ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .states import LOW, double_array
 from .words import slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _CHUNK = 1 << 20
+_FEW = 32  # so many words are worth a step side by side
 _PIECES = regex.compile(rb" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+?(?= ?[^\x20\x09-\x0D])|[\x20\x09-\x0D]+$")
 
 
@@ -36,18 +39,19 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 class LongestMatch:
-    """Trie edges as sorted keys (node * 256 + byte) with their targets; failure links and popped counts by node."""
+    """A trie as a double array, with failure links and popped counts by state."""
 
     def __init__(self, vocabulary: list[bytes]):
-        child: dict[int, int] = {}
+        edges: list[dict[int, int]] = [{}]
         token, parent, byte = [False], [0], [0]
         # with every single byte in the trie, a byte that no token covers is one unknown token
         for word in [bytes([b]) for b in range(256)] + vocabulary:
             at = 0
             for b in word:
-                nxt = child.get(at * 256 + b)
+                nxt = edges[at].get(b)
                 if nxt is None:
-                    nxt = child[at * 256 + b] = len(token)
+                    nxt = edges[at][b] = len(token)
+                    edges.append({})
                     token.append(False)
                     parent.append(at)
                     byte.append(b)
@@ -62,38 +66,38 @@ class LongestMatch:
                 pops[v] = 1
                 continue
             z, n = fail[parent[v]], pops[parent[v]]
-            while (z * 256 + byte[v]) not in child:
+            while byte[v] not in edges[z]:
                 n += pops[z]
                 z = fail[z]
-            fail[v], pops[v] = child[z * 256 + byte[v]], n
-        self.keys = np.array(sorted(child), np.int64)
-        self.targets = np.array([child[k] for k in self.keys.tolist()], np.int64)
-        self.fail, self.pops = np.array(fail, np.int64), np.array(pops, np.int64)
-
-    def step(self, nodes: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """Children by a byte; -1 where there is none."""
-        key = nodes * 256 + data
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.targets[at], -1)
+            fail[v], pops[v] = edges[z][byte[v]], n
+        self.slots, base = double_array(edges, 256)
+        self.fail, self.pops = np.zeros(int(base.max()) + 1, np.int64), np.zeros(int(base.max()) + 1, np.int64)
+        self.fail[base], self.pops[base] = base[fail], pops
 
     def counts(self, words: list[bytes]) -> np.ndarray:
         """Tokens of each word."""
         lengths = np.array([len(w) for w in words], np.int64)
         order = np.argsort(-lengths, kind="stable")
         size = lengths[order]
-        data = np.frombuffer(b"".join(words), np.uint8)
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
         start = (np.cumsum(lengths) - lengths)[order]
         node, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        for t in range(int(size[0]) if len(size) else 0):
-            n = int(np.searchsorted(-size, -t, side="left"))
-            todo = np.arange(n)
+        live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
+        t = 0
+        while t < len(live) and live[t] >= _FEW:
+            c = data[start[: live[t]] + t]
+            todo = np.arange(live[t])
             while len(todo):
-                nxt = self.step(node[todo], data[start[todo] + t])
-                fits = nxt >= 0
-                node[todo[fits]] = nxt[fits]
+                entry = self.slots[node[todo] + c[todo]]
+                fits = entry >> 32 == node[todo]
+                node[todo[fits]] = entry[fits] & LOW
                 todo = todo[~fits]
                 count[todo] += self.pops[node[todo]]
                 node[todo] = self.fail[node[todo]]
+            t += 1
+        for i in range(live[t] if t < len(live) else 0):
+            node[i], n = self._walk(int(node[i]), data[start[i] + t : start[i] + size[i]].tolist())
+            count[i] += n
         todo = np.flatnonzero(node > 0)
         while len(todo):
             count[todo] += self.pops[node[todo]]
@@ -103,6 +107,18 @@ class LongestMatch:
         out[order] = count
         return out
 
+    def _walk(self, node: int, codes: list[int]) -> tuple[int, int]:
+        """(the state after more bytes of one word, tokens popped on the way)."""
+        slots, fail, pops, n = memoryview(self.slots), memoryview(self.fail), memoryview(self.pops), 0
+        for c in codes:
+            entry = slots[node + c]
+            while entry >> 32 != node:
+                n += pops[node]
+                node = fail[node]
+                entry = slots[node + c]
+            node = entry & LOW
+        return node, n
+
 
 def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """Per row: id, n_words (pieces between white space), n_tokens."""

@@ -42,12 +42,14 @@ def test_token_counts_equal_greedy(spark, sf_dir):
     got = {r.doc_id: (r.n_words, r.n_tokens) for r in op1_token_counts(spark, sf_dir).collect()}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     assert len(got) == len(docs)
-    for r in docs[:60]:
+    for r in docs:
         words = _PIECES.findall((r.text or "").encode())
         assert b"".join(words) == (r.text or "").encode()
         assert got[r.doc_id] == (len(words), greedy(words, vocabulary))
-    odd = spark.createDataFrame([(1, None, 3), (1, "", 4), (2, "  \n a", 5)], "doc_id long, text string, n_tokens int")
-    assert [r.n_words for r in token_counts(odd).orderBy("doc_id").collect()][:2] == [0, 0]
+    texts = [None, "", "  \n a", "a" * 70001, "\u4e2d\u6587" * 9000, "q\u00fcx-" * 8000 + " the end", "  \n a"]
+    odd = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
+    want = [(i, len(w), greedy(w, vocabulary)) for i, w in enumerate(_PIECES.findall((t or "").encode()) for t in texts)]
+    assert sorted(map(tuple, token_counts(odd).collect())) == want
     assert token_counts(odd.limit(0)).count() == 0
 
 
@@ -109,6 +111,31 @@ def test_lm_odd_rows(spark):
     assert score(docs.limit(0), docs).count() == 0
 
 
+def test_lm_with_many_volumes_and_few_maps(spark, sf_dir, monkeypatch):
+    from graphquarry.llm import common, perplexity
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    long = spark.createDataFrame([(-1, "very long text " * 70000)], docs.schema)  # counts beyond 16 bits too
+    docs = docs.union(long)
+    want = {r.doc_id: (r.n_known, r.score) for r in score(docs, docs).collect()}
+    for name, value in (("SHARD_BYTES", 1 << 12), ("VOLUME_BYTES", 1 << 14), ("SHARD_ROWS", 1 << 7)):
+        monkeypatch.setattr(perplexity, name, value)
+    monkeypatch.setattr(common, "MAPS", 3)
+    assert {r.doc_id: (r.n_known, r.score) for r in score(docs, docs).collect()} == want
+
+
+def test_mapped_files_are_let_go(tmp_path, monkeypatch):
+    from graphquarry.llm import common
+
+    monkeypatch.setattr(common, "MAPS", 2)
+    for i in range(5):
+        common.save(f"{tmp_path}/{i}.npy", np.arange(i))
+    for i in (0, 1, 2, 3, 4, 0, 4):
+        assert common.mapped(f"{tmp_path}/{i}.npy").tolist() == list(range(i))
+        assert len(common._maps) <= 2
+    assert common.mapped(f"{tmp_path}/none.npy") is None
+
+
 def brute_vectors(rows, cosine=0.93):
     good = [(i, np.array(v, float), l) for i, v, l in rows if v is not None and l is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     links, root = Counter(), {i: i for i, _, _ in rows}
