@@ -192,9 +192,42 @@ FROM c GROUP BY conv_id
 """
 
 
+# links, walked from every end: groups of the test tables are small
+_WALK = """
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+walk(id, top) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT both_ways.b, top FROM walk JOIN both_ways ON both_ways.a = walk.id),
+comp AS (SELECT id, min(top) AS top FROM walk GROUP BY id)"""
+OP7_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + least(5, len(w)) - 1), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),{_WALK}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(top, d.doc_id) AS component_id, coalesce(top, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON id = d.doc_id
+"""
+
+OP8_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+e AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND len(x.v) = len(y.v) AND x.vec_id < y.vec_id
+  WHERE list_dot_product(x.v, y.v) / sqrt(list_dot_product(x.v, x.v)) / sqrt(list_dot_product(y.v, y.v)) >= 0.93
+),{_WALK},
+links AS (SELECT a, count(*) AS n FROM both_ways GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(top, vec_id) AS component_id, coalesce(top, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN links ON a = vec_id LEFT JOIN comp ON id = vec_id
+"""
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL, "op9_chat_format": OP9_SQL, "op3_benchmark_decontamination": OP3_SQL, "op10_secret_scan": OP10_SQL}
+    return {"op6_url_filter": OP6_SQL, "op9_chat_format": OP9_SQL, "op3_benchmark_decontamination": OP3_SQL, "op10_secret_scan": OP10_SQL, "op7_near_dedup": OP7_SQL, "op8_embedding_dedup": OP8_SQL}

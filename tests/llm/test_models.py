@@ -191,7 +191,15 @@ def test_vectors_of_64_dimensions_with_a_hot_label(spark, monkeypatch):
     rows += [(2000 + i, rng.normal(size=64).tolist(), "hot") for i in range(300)] + [(3000, [1.0] * 5000, "hot"), (3001, [1.0] * 5000, "hot")]
     want = brute_vectors(rows)
     assert sum(n > 0 for n, _, _ in want.values()) > 500 and sum(n == 0 for n, _, _ in want.values()) > 300
-    assert vector_rows(near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"))) == want
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    assert vector_rows(near_vectors(df)) == want
+    # the SQL twin too, as the test tables hold no links
+    import duckdb
+
+    from graphquarry.llm.queries import OP8_SQL
+
+    embeddings = df.toArrow()  # noqa: F841  DuckDB reads it by its name
+    assert {r[0]: r[1:] for r in duckdb.connect().sql(OP8_SQL).fetchall()} == want
 
 
 def test_url_rules(spark):

@@ -188,6 +188,6 @@ def test_language_sample_is_of_whole_texts(spark):
     assert sizes[1] == 3 * 303 + 2  # three whole texts of 303 bytes and the spaces between them
 
 
-@pytest.mark.parametrize("name", ["op3_benchmark_decontamination", "op10_secret_scan"])
+@pytest.mark.parametrize("name", ["op3_benchmark_decontamination", "op7_near_dedup", "op8_embedding_dedup", "op10_secret_scan"])
 def test_sql(same_as_sql, name):
     same_as_sql(name)

@@ -62,3 +62,16 @@ def test_runs_are_scanned_outside_base_spans_and_allow_list(spark):
     clean = [r.text for r in redact(df).orderBy("doc_id").collect()]
     assert clean == [plain_redacted(t) for t in texts]
     assert all(key not in t for t in clean if t)
+
+
+def test_odd_rows(spark):
+    texts = [None, "", "no secrets", "token = abcdef", "TOKEN=abcde password:'hunter2hunter'", "AKIA" + "A" * 16 + " " + "0f" * 12, "x " * 40000 + "api_key: zyxwvu9876 " + "é" * 9 + "deadbeef" * 5]
+    rows = [(i, t, 1, "b", 2) for i, t in enumerate(texts)] * 2 + [(None, texts[4], 1, "b", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, base int, added string, c0 int")
+    got = scan(df).select("doc_id", joined("spans").alias("s")).collect()
+    want = {t: ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in plain_spans(t)) for t in texts}
+    assert sorted((repr(r.doc_id), r.s) for r in got) == sorted((repr(r[0]), want[r[1]]) for r in rows)
+    clean = redact(df)
+    assert clean.columns == df.columns
+    assert sorted(map(repr, map(tuple, clean.collect()))) == sorted(repr((i, plain_redacted(t), *rest)) for i, t, *rest in rows)
+    assert scan(df.limit(0)).count() == redact(df.limit(0)).count() == 0
