@@ -41,8 +41,8 @@ REGISTERS, ROWS = 120, 3
 _OFFSET = 4096  # registers of a single element may lie below 0
 _CHUNK = 1 << 19
 _BLOCK = 2048
-_BLOCK_BYTES = 16 << 20
-_CONFIRM_BYTES = 4 << 20
+_BLOCK_BYTES = 4 << 20
+_CONFIRM_BYTES = 1 << 20
 _RESULTS = ("n", "s1", "s2", "sketch")
 _rng = np.random.default_rng(7)
 _SEEDS = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
@@ -71,6 +71,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return value, np.searchsorted(row, np.arange(len(counts) + 1))
 
 
+def _sets_by_parts(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """`shingle_sets` of a column, a few texts at a time: of the others only the sets are held."""
+    values, firsts, at = [np.zeros(0, U64)], [np.zeros(1, np.int64)], 0
+    for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", _CHUNK):
+        value, first = shingle_sets(*text_buffers(part.column(0)), k)
+        values.append(value)
+        firsts.append(first[1:] + at)
+        at += len(value)
+    return np.concatenate(values), np.concatenate(firsts)
+
+
 def sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Registers of sets, none of them empty: one row of bytes each."""
     out = np.empty((len(first) - 1, REGISTERS), np.uint16)
@@ -219,7 +230,7 @@ def _links(k: int, num: int, den: int):
     def links(rows: pa.Table) -> pa.Table:
         pairs = _Pairs(rows, num, den)
         ids, label = pairs.ids, pairs.label
-        value, first = shingle_sets(*text_buffers(rows.column("text").combine_chunks()), k)
+        value, first = _sets_by_parts(rows.column("text").combine_chunks(), k)
         out = []
         for x in pairs.left:
             mine = value[first[x] : first[x + 1]]
