@@ -34,8 +34,9 @@ SHARD_BYTES = 12 << 20
 VOLUME_BYTES = 48 << 20
 VOLUME_BITS = 13  # at most
 _WIDE = (1 << 16) - 1  # counts from here on stand in a list of their own
-_HELD = 1 << 22
-_CHUNK = 4 << 20
+_HELD = 1 << 21
+_CHUNK = 2 << 20
+_SENT = 8 << 20  # bytes of packed shards that leave a worker at once
 _WORDS = ("hash", "c", "cont", "total", "n1", "n2", "n3")
 #: What a shard of bigrams passes on: the saved columns, and how many of a context's bigrams have count 3 and 4.
 _SUMS = (*_WORDS, "x3", "x4")
@@ -95,19 +96,25 @@ def _unsqueezed(data: bytes, width: int) -> np.ndarray:
     return np.cumsum(gaps.view(U64).ravel(), dtype=U64)
 
 
-def _packed(held, bits: int) -> pa.RecordBatch:
-    """A row for each shard: keys, the distinct contexts, the context of each key, counts."""
+def _packed(held, bits: int):
+    """A row for each shard: keys, the distinct contexts, the context of each key, counts; some rows at a time."""
     key, previous, n = _merge(held)
     shard = (key >> U64(64 - bits)).astype(np.int32) if bits else np.zeros(len(key), np.int32)
     starts = np.flatnonzero(np.diff(shard, prepend=-1))
-    rows = []
+    rows, size = [], 0
+    send = lambda: pa.RecordBatch.from_pylist([dict(zip(_PACK.names, r)) for r in rows], schema=_PACK)
     for a, b in zip(starts, [*starts[1:], len(key)]):
         contexts, of = np.unique(previous[a:b], return_inverse=True)
         of, counts = _narrow(of), _narrow(n[a:b])
         # the shard's own bits are left out, so that the first difference is no longer than the others
         rest = key[a:b] & U64((1 << (64 - bits)) - 1)
         rows.append((int(shard[a]), *_squeezed(rest), *_squeezed(contexts), of.tobytes(), of.itemsize, counts.tobytes(), counts.itemsize))
-    return pa.RecordBatch.from_pylist([dict(zip(_PACK.names, r)) for r in rows], schema=_PACK)
+        size += 16 * int(b - a)
+        if size >= _SENT:
+            yield send()
+            rows, size = [], 0
+    if rows:
+        yield send()
 
 
 _PACK = pa.schema(
@@ -123,13 +130,13 @@ def _count(bits: int):
             for part in slices(batch, "text", _CHUNK):
                 previous, token, _ = _tokens(*text_buffers(part.column(0)))
                 key, at, n = np.unique(_pair(previous, token), return_index=True, return_counts=True)
-                held.append((key, previous[at], n))
+                held.append((key, previous[at], n.astype(np.int32)))
                 size += len(key)
                 if size >= _HELD:
-                    yield _packed(held, bits)
+                    yield from _packed(held, bits)
                     held, size = [], 0
         if size:
-            yield _packed(held, bits)
+            yield from _packed(held, bits)
 
     return rows
 
