@@ -25,7 +25,7 @@ def reach(seeds: DataFrame, edges: DataFrame, depth: int, *, inward: bool = Fals
         steps = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     else:
         steps = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if inward else edges.select("src", "dst")
-    steps = steps.where("src is not null and dst is not null")
+    steps = cut(steps.where("src is not null and dst is not null").distinct())
     seen = cut(seeds.select("key").where("key is not null").distinct().withColumn("distance", F.lit(0)))
     frontier = seen
     for level in range(1, depth + 1):
@@ -40,7 +40,7 @@ def reach(seeds: DataFrame, edges: DataFrame, depth: int, *, inward: bool = Fals
 def reach_each(starts: DataFrame, edges: DataFrame, depth: int, *, inward: bool = False, both: bool = False) -> DataFrame:
     """(origin, key, distance): what each of `starts` (origin, key) reaches, as `reach` does for all seeds together."""
     out, back = edges.select("src", "dst"), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    steps = (out.union(back) if both else back if inward else out).where("src is not null and dst is not null").distinct()
+    steps = cut((out.union(back) if both else back if inward else out).where("src is not null and dst is not null").distinct())
     seen = cut(starts.select("origin", "key").where("key is not null").distinct().withColumn("distance", F.lit(0)))
     frontier = seen
     for level in range(1, depth + 1):
@@ -55,7 +55,7 @@ def reach_each(starts: DataFrame, edges: DataFrame, depth: int, *, inward: bool
 
 def ends_of_paths(starts: DataFrame, edges: DataFrame, least: int, most: int) -> DataFrame:
     """Distinct (origin, key): `key` lies at the end of a walk of `least` to `most` steps from `starts` (origin, key)."""
-    steps = edges.select("src", "dst").distinct()
+    steps = cut(edges.select("src", "dst").distinct())
     at, found = starts.select("origin", "key").distinct(), None
     for n in range(1, most + 1):
         at = cut(at.join(steps, at["key"] == steps["src"]).select("origin", F.col("dst").alias("key")).distinct())
