@@ -14,8 +14,9 @@ from ..facts import Facts
 from ..functions import ids, paths, text
 from ..operators import anchors as anchor_ops
 from ..operators import edges as edge_ops
+from ..operators import evaluate, incremental, retrieve
 from ..operators import prompts as prompt_ops
-from ..operators import retrieve
+from ..operators import sessions as session_ops
 from ..operators.neighbourhood import neighbourhood as build_neighbourhood
 from ..operators.traverse import reach_each
 
@@ -370,3 +371,58 @@ QUERIES = {
         content_hashes, user_texts, nearest_member,
     )
 }
+
+
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a log of sessions: sign-ups open tasks, clicks change files, errors challenge and purchases justify them."""
+    kinds = F.create_map(*[F.lit(x) for x in ("signup", "open", "click", "change", "error", "challenge", "purchase", "justify", "view", "turn")])
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = table(spark, sf_dir, "events").withColumn("ts", F.concat(F.col("ts").cast("timestamp_ntz").cast("string"), F.lit("Z")).cast("timestamp"))
+    return e.select(
+        F.col("user_id").alias("session"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), kinds[F.col("event_type")].alias("kind"),
+        F.concat(F.lit("f"), k % 7, F.when(k % 5 == 0, ".md").otherwise(".ts")).alias("file"), (F.unix_millis("ts") - F.floor(F.col("value") * 100000)).cast("long").alias("mtime_ms"), (k % 3).cast("long").alias("size"), (k % 11 != 0).alias("exists"),
+    )
+
+
+def session_changes(spark, d):
+    return session_ops.detected(session_events(spark, d))
+
+
+def session_marks(spark, d):
+    return session_ops.marks(session_events(spark, d))
+
+
+def unseen_changes(spark, d):
+    return session_ops.unseen(session_events(spark, d))
+
+
+def prompt_actions(spark, d):
+    """User turns as prompts of sessions: equal first words are one prompt id."""
+    turns = table(spark, d, "conversations").where("role = 'user'").select(F.col("conv_id").alias("session"), F.col("turn").alias("at"), F.substring("text", 1, 2).alias("prompt_id"), "text", F.when(F.length("text") % 2 == 0, "SAME").otherwise("WIDENED").alias("verdict"))
+    return session_ops.prompt_actions(turns).select("session", F.col("at").alias("turn"), "action")
+
+
+def changed_line_owners(spark, d):
+    """Line numbers of orders as changed lines of files: the innermost function around each."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") + 1).cast("int").alias("line"), F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 25 + 1).cast("string")).alias("file"))
+    found = evaluate.owners(lines.select("file", "line").distinct(), facts(spark, d).functions)
+    return found.select("file", "line", "key")
+
+
+def boundary_recall(spark, d):
+    """How much of each task's own functions that are exported its boundary holds."""
+    f, t = facts(spark, d), tasks(spark, d)
+    members = build_neighbourhood(f, anchor_ops.anchors(f, t)).members
+    cases = f.functions.where("exported").select(F.col("name").alias("task"), "key")
+    found = evaluate.summary(evaluate.case_recalls(f, cases, members))
+    return found.select("cases", F.round("recall", 6).alias("recall"), F.round("median_area", 6).alias("median_area"), F.round("worst_area", 6).alias("worst_area"), "perfect", "passes")
+
+
+def changed_files(spark, d):
+    """Files whose functions are others than in a snapshot without large parts."""
+    part = table(spark, d, "part")
+    hashed = lambda df: df.groupBy(F.col("p_brand").alias("path")).agg(F.md5(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", F.lpad(F.col("p_partkey").cast("string"), 12, "0"), "p_name"))), ",")).alias("hash"))
+    return incremental.changes(hashed(part.where("p_brand <> 'Brand#7' and p_size < 50")), hashed(part.where("p_brand <> 'Brand#9'")))
+
+
+QUERIES |= {f.__name__: f for f in (session_changes, session_marks, unseen_changes, prompt_actions, changed_line_owners, boundary_recall, changed_files)}

@@ -240,3 +240,37 @@ SQL = {
         coalesce(array_to_string(regexp_extract_all(text, '(?:^|[\s`''"(\[])((?:[\w.@/-]*/)?[\w.-]+\.(?:tsx?|jsx?|prisma|json|css))', 1), '|'), '') AS paths FROM t""",
     "id_collisions": "SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS keys WHERE false",
 }
+
+_EVENTS = """e0 AS (
+  SELECT user_id AS session, ts AS tat, event_id AS seq, CASE event_type WHEN 'signup' THEN 'open' WHEN 'click' THEN 'change' WHEN 'error' THEN 'challenge' WHEN 'purchase' THEN 'justify' ELSE 'turn' END AS kind,
+    CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, epoch_us(ts) // 1000 - CAST(floor(value * 100000) AS BIGINT) AS mtime_ms FROM events
+),
+e AS (SELECT *, 'f' || (k % 7) || CASE WHEN k % 5 = 0 THEN '.md' ELSE '.ts' END AS file, CAST(k % 3 AS BIGINT) AS size, k % 11 <> 0 AS exists_,
+  count(*) FILTER (kind = 'open') OVER w AS task, max(epoch_us(tat) // 1000) FILTER (kind = 'open') OVER w AS started FROM e0 WINDOW w AS (PARTITION BY session ORDER BY tat, seq))"""
+_EARLIER = "p.session = c.session AND p.task = c.task AND p.file = c.file AND (p.tat, p.seq) < (c.tat, c.seq)"
+_OLD = "mtime_ms <= started - 2000"
+SQL |= {
+    "session_changes": f"""WITH {_EVENTS},
+      c AS (SELECT *, EXISTS (SELECT 1 FROM e p WHERE {_EARLIER} AND p.kind IN ('challenge', 'justify')) AS settled FROM e c WHERE kind = 'change'),
+      n AS (SELECT *, coalesce({_OLD}, false) AS old, ends_with(file, '.ts') AS reads, NOT settled AND exists_ AS plain FROM c),
+      s AS (SELECT *, EXISTS (SELECT 1 FROM n p WHERE {_EARLIER} AND p.mtime_ms = c.mtime_ms AND p.size = c.size AND p.plain AND (p.old OR NOT p.reads)) AS known FROM n c),
+      f AS (SELECT *, EXISTS (SELECT 1 FROM s p WHERE {_EARLIER} AND p.plain AND NOT p.old AND p.reads AND NOT p.known) AS had FROM s c)
+      SELECT session, task, seq, file, CASE WHEN settled THEN 'forced' WHEN had THEN 'accounted' WHEN NOT exists_ THEN 'delete' WHEN old THEN 'pre-task' WHEN known THEN 'seen' WHEN NOT reads THEN 'unreadable' ELSE 'candidate' END AS found FROM f""",
+    "session_marks": f"""WITH {_EVENTS}, m AS (SELECT *, kind = 'change' AND EXISTS (SELECT 1 FROM e p WHERE {_EARLIER} AND p.kind = 'challenge') AND NOT EXISTS (SELECT 1 FROM e p WHERE {_EARLIER} AND p.kind = 'justify') AS forces FROM e c WHERE task > 0)
+      SELECT session, task, file, bool_or(kind = 'challenge') AS challenged, bool_or(kind = 'justify') AS justified, bool_or(kind = 'judge') AS judged, bool_or(forces) AS forced, max(mtime_ms) FILTER (kind = 'change' AND exists_) AS overlay_ms FROM m GROUP BY 1, 2, 3""",
+    "unseen_changes": f"""WITH {_EVENTS} SELECT DISTINCT session, task, file, CASE WHEN exists_ THEN mtime_ms ELSE 0 END AS mtime_ms FROM e c
+      WHERE kind = 'change' AND task > 0 AND (NOT exists_ OR mtime_ms > started - 2000) AND NOT EXISTS (SELECT 1 FROM e p WHERE p.session = c.session AND p.task = c.task AND p.file = c.file AND p.kind IN ('challenge', 'justify'))""",
+    "prompt_actions": """WITH p AS (SELECT conv_id AS session, turn AS tat, left(text, 2) AS id, text, length(text) % 2 = 0 AS same FROM conversations WHERE role = 'user'),
+      q AS (SELECT *, id IS NOT NULL AND row_number() OVER (PARTITION BY session, id ORDER BY tat) > 1 AS again, coalesce(trim(text) <> '' AND NOT regexp_matches(trim(text), '(?i)^\s*(please\b|(can|could|would|will|why\s+don''?t|how\s+about)\s+(you|we|i)\b)')
+        AND (regexp_matches(trim(text), '(?i)^\s*(where|what|which|who|whom|whose|when|why|how)\b') OR regexp_matches(trim(text), '(?i)^\s*(is|are|was|were)\s+(there|any)\b') OR (regexp_matches(trim(text), '\?\s*$')
+        AND NOT regexp_matches(trim(text), '(?i)\b(add|fix|chang|updat|refactor|renam|remov|delet|implement|creat|writ|mak|mov|extract|replac|migrat|revert|wir|support|improv|clean|split|merg|introduc|build|switch)(e|es|ed|ing|s)?\b'))), false) AS asks FROM p)
+      SELECT session, tat AS turn, CASE WHEN again THEN 'duplicate' WHEN asks THEN 'question' WHEN sum(CASE WHEN again OR asks THEN 0 ELSE 1 END) OVER (PARTITION BY session ORDER BY tat) = 1 THEN 'opened' WHEN same THEN 'kept' ELSE 'redrawn' END AS action FROM q""",
+    "changed_line_owners": f"""{_WITH}, l AS (SELECT DISTINCT 'Brand#' || (l_suppkey % 25 + 1) AS file, CAST(l_quantity + 1 AS INTEGER) AS line FROM lineitem)
+      SELECT l.file, l.line, arg_min(p_partkey, (9, -p_size, p_partkey)) AS key FROM l LEFT JOIN part ON p_brand = l.file AND l.line BETWEEN p_size AND p_size + 9 GROUP BY ALL""",
+    "boundary_recall": f"""{_WITH}, {_MEMBERS}, c AS (SELECT f.name AS task, count(*) AS changed, count(m.key) AS hit FROM functions f LEFT JOIN members m ON m.task = f.name AND m.key = f.key WHERE exported GROUP BY 1),
+      r AS (SELECT c.task, hit / changed AS recall, (SELECT count(*) FROM members m WHERE m.task = c.task) / (SELECT count(*) FROM functions) AS area FROM c)
+      SELECT count(*) AS cases, round(avg(recall), 6) AS recall, round(list_sort(list(area))[count(*) // 2 + 1], 6) AS median_area, round(max(area), 6) AS worst_area, count(*) FILTER (recall = 1) AS perfect,
+        avg(recall) >= 0.9 AND list_sort(list(area))[count(*) // 2 + 1] < 0.05 AS passes FROM r""",
+    "changed_files": """WITH a AS (SELECT DISTINCT p_brand FROM part WHERE p_brand <> 'Brand#7' AND p_size < 50), b AS (SELECT p_brand, bool_or(p_size >= 50) AS differs FROM part WHERE p_brand <> 'Brand#9' GROUP BY 1)
+      SELECT coalesce(a.p_brand, b.p_brand) AS path, CASE WHEN a.p_brand IS NULL THEN 'new' WHEN b.p_brand IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM a FULL JOIN b USING (p_brand) WHERE a.p_brand IS NULL OR b.p_brand IS NULL OR differs""",
+}
