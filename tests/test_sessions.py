@@ -83,7 +83,7 @@ def test_incremental_equals_full(spark, demo, tmp_path):
     # a new version without one function, of which only the affected files are read again
     full, _ = edge_ops.intact_facts(demo.replaced(functions=demo.functions.where("name <> 'onToast'")))
     reread = p.affected
-    own = lambda df, c: df.join(reread, F.col(c) == F.col("path"), "left_semi")
+    own = lambda df, c: df.join(reread.withColumnRenamed("path", "_p"), F.col(c) == F.col("_p"), "left_semi")
     part = {n: own(getattr(full, n), "file") for n in ("functions", "types", "routes", "calls", "references", "touches")}
     owners = full.files.select(F.col("key").alias("from_file_key"), "path").join(reread, "path")
     fresh = full.replaced(**part, files=full.files.join(reread, "path", "left_semi").select("key", "path"), imports=full.imports.join(owners.select("from_file_key"), "from_file_key", "left_semi").select("from_file_key", "to_file_key"))
