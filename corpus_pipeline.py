@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphquarry.llm.common import free_name, new_folder
+from graphquarry.llm.common import cut, free_name, new_folder, small
 from graphquarry.llm.decontaminate import contamination
 from graphquarry.llm.language import UNDETERMINED, identify
 from graphquarry.llm.mix import mixed
@@ -24,10 +25,20 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _numbered(spark: SparkSession, docs: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """`docs` with a number for each row, written once so that every reader sees the same numbers, and that column's name."""
-    folder, row = new_folder(spark, name), free_name(docs, "_row")
-    docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(folder)
-    return spark.read.parquet(folder), row
+    """`docs` with a number for each row that every reader sees alike, and that column's name.
+
+    Rows of files are numbered by their file's number and their place in it. Other rows are written once, numbered.
+    """
+    row = free_name(docs, "_row")
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias(f"{row}file"), F.col("_metadata.row_index").alias(f"{row}nth"))
+    except AnalysisException:  # rows that do not come from files have no place
+        folder = new_folder(spark, name)
+        docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(folder)
+        return spark.read.parquet(folder), row
+    files = placed.select(f"{row}file").distinct().withColumn(f"{row}of", F.row_number().over(Window.orderBy(f"{row}file")).cast("long"))
+    number = F.shiftleft(f"{row}of", 40).bitwiseOR(F.col(f"{row}nth")).alias(row)
+    return placed.join(small(cut(files)), f"{row}file").select(*docs.columns, number), row
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
