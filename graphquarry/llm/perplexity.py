@@ -31,7 +31,6 @@ from .words import SPACED, U64, Words, mix, slices, text_buffers
 BEGIN, END = U64(0x0123456789ABCDEF), U64(0xFEDCBA9876543210)
 SHARD_ROWS = 1 << 21
 SHARD_BYTES = 12 << 20
-VOLUME_BYTES = 48 << 20
 VOLUME_BITS = 13  # at most
 _WIDE = (1 << 16) - 1  # counts from here on stand in a list of their own
 _HELD = 1 << 21
@@ -294,8 +293,7 @@ def score(docs: DataFrame, learn: DataFrame, *, doc_id: str = "doc_id", text: st
     folder = mapped_folder(spark, "ngrams")
     size = learn.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     bits = (size // SHARD_BYTES).bit_length()
-    # enough volumes for all cores, and for a volume to be a small task; the rest of the shards' bits is inside them
-    volume_bits = min(bits, max((size // VOLUME_BYTES).bit_length(), spark.sparkContext.defaultParallelism.bit_length()), VOLUME_BITS)
+    volume_bits = min(bits, VOLUME_BITS)  # a volume is one shard until there are thousands
     packed = learn.select(F.col(text).alias("text")).mapInArrow(_count(bits), _PACKED)
     dealt = packed.withColumn("volume", F.shiftright("shard", bits - volume_bits)).repartition(2 << volume_bits, "volume").sortWithinPartitions("shard").drop("volume")
     sums = dealt.mapInArrow(_add_up(folder, bits, volume_bits), ", ".join(f"{x} long" for x in _SUMS))

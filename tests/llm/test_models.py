@@ -118,7 +118,7 @@ def test_lm_with_many_volumes_and_few_maps(spark, sf_dir, monkeypatch):
     long = spark.createDataFrame([(-1, "very long text " * 70000)], docs.schema)  # counts beyond 16 bits too
     docs = docs.union(long)
     want = {r.doc_id: (r.n_known, r.score) for r in score(docs, docs).collect()}
-    for name, value in (("SHARD_BYTES", 1 << 12), ("VOLUME_BYTES", 1 << 14), ("SHARD_ROWS", 1 << 7)):
+    for name, value in (("SHARD_BYTES", 1 << 12), ("VOLUME_BITS", 4), ("SHARD_ROWS", 1 << 7)):
         monkeypatch.setattr(perplexity, name, value)
     monkeypatch.setattr(common, "MAPS", 3)
     assert {r.doc_id: (r.n_known, r.score) for r in score(docs, docs).collect()} == want
