@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, small
+from .common import cut, free_name, small, tidy
 from .states import LOW, double_array
 from .words import slices, text_buffers
 
@@ -229,6 +229,7 @@ def identify(
     """
     model = train(docs if learn is None else learn, doc_id=doc_id, text=text, lang=lang, docs_per_lang=docs_per_lang, bytes_per_lang=bytes_per_lang)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    tidy(docs.sparkSession)
     results = [free_name(docs, "lang_pred"), free_name(docs, "score")]
 
     def predict(batches):

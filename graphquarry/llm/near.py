@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, tidy
 from .words import SPACED, U64, Words, grams, mix, slices, text_buffers
 
 #: So near 1 that registers of unrelated sets are seldom equal; two bytes hold them.
@@ -159,6 +159,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = cut(jumped.select("a", F.least("m", F.coalesce("far", "m")).alias("l"), (F.least("m", F.coalesce("far", "m")) < F.col("l")).alias("moved")))
         labels = moved.select("a", "l")
         if moved.where("moved").isEmpty():
+            tidy(edges.sparkSession)
             return labels.select(F.col("a").alias("id"), F.col("l").alias("component"))
 
 
@@ -279,6 +280,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         left = cut(named.join(small(open_), "bucket").join(classes.select("id", "n", "sketch"), "id"))
         near = _blocks(left).groupBy("bucket", "a", "b").applyInArrow(_near(num, den), "bucket long, id long")
         near = cut(near.distinct())
+        tidy(docs.sparkSession)
         left = left.join(small(near), ["bucket", "id"]).join(texts_of(near.select("id")), "id")
         more = _blocks(cut(left), F.octet_length("text")).groupBy("bucket", "a", "b").applyInArrow(_links(k, num, den), "a long, b long")
         labels = components(cut(edges.union(more)))
