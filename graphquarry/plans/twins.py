@@ -260,7 +260,7 @@ SQL |= {
       SELECT session, task, file, bool_or(kind = 'challenge') AS challenged, bool_or(kind = 'justify') AS justified, bool_or(kind = 'judge') AS judged, bool_or(forces) AS forced, max(mtime_ms) FILTER (kind = 'change' AND exists_) AS overlay_ms FROM m GROUP BY 1, 2, 3""",
     "unseen_changes": f"""WITH {_EVENTS} SELECT DISTINCT session, task, file, CASE WHEN exists_ THEN mtime_ms ELSE 0 END AS mtime_ms FROM e c
       WHERE kind = 'change' AND task > 0 AND (NOT exists_ OR mtime_ms > started - 2000) AND NOT EXISTS (SELECT 1 FROM e p WHERE p.session = c.session AND p.task = c.task AND p.file = c.file AND p.kind IN ('challenge', 'justify'))""",
-    "prompt_actions": """WITH p AS (SELECT conv_id AS session, turn AS tat, left(text, 2) AS id, text, length(text) % 2 = 0 AS same FROM conversations WHERE role = 'user'),
+    "prompt_actions": r"""WITH p AS (SELECT conv_id AS session, turn AS tat, left(text, 2) AS id, text, length(text) % 2 = 0 AS same FROM conversations WHERE role = 'user'),
       q AS (SELECT *, id IS NOT NULL AND row_number() OVER (PARTITION BY session, id ORDER BY tat) > 1 AS again, coalesce(trim(text) <> '' AND NOT regexp_matches(trim(text), '(?i)^\s*(please\b|(can|could|would|will|why\s+don''?t|how\s+about)\s+(you|we|i)\b)')
         AND (regexp_matches(trim(text), '(?i)^\s*(where|what|which|who|whom|whose|when|why|how)\b') OR regexp_matches(trim(text), '(?i)^\s*(is|are|was|were)\s+(there|any)\b') OR (regexp_matches(trim(text), '\?\s*$')
         AND NOT regexp_matches(trim(text), '(?i)\b(add|fix|chang|updat|refactor|renam|remov|delet|implement|creat|writ|mak|mov|extract|replac|migrat|revert|wir|support|improv|clean|split|merg|introduc|build|switch)(e|es|ed|ing|s)?\b'))), false) AS asks FROM p)
