@@ -171,18 +171,18 @@ def _blocks(rows: DataFrame, size: Column | int = 0) -> DataFrame:
     weight = F.greatest(F.count(F.lit(1)) / F.lit(_BLOCK), F.sum("_size") / F.lit(_BLOCK_BYTES))
     labels = rows.groupBy("bucket", "label").agg(weight.alias("weight"))
     pools = labels.groupBy("bucket").agg(F.ceil(F.sum(F.when(F.col("weight") <= 1, F.col("weight")).otherwise(0.0))).alias("pools"))
-    labels = cut(labels.join(pools, "bucket"))
+    labels = labels.join(pools, "bucket")
     part = lambda column, n: F.pmod(F.xxhash64(column), F.greatest(n, F.lit(1)).cast("long"))
     own = F.when(F.col("weight") > 1, F.col("label"))
     block = F.when(F.col("weight") > 1, F.concat_ws(":", F.col("label"), part("id", F.ceil("weight")))).otherwise(F.concat_ws(":", F.lit("pool"), part("label", F.col("pools"))))
-    dealt = rows.join(small(labels), ["bucket", "label"]).withColumn("own", own).withColumn("block", block).drop("weight", "pools", "_size")
-    blocks = cut(dealt.select("bucket", "block", "own").distinct())
+    dealt = rows.join(labels, ["bucket", "label"]).withColumn("own", own).withColumn("block", block).drop("weight", "pools", "_size")
+    blocks = dealt.select("bucket", "block", "own").distinct()
     other = blocks.select("bucket", F.col("block").alias("b"), F.col("own").alias("b_own"))
     apart = F.col("own").isNull() | F.col("b_own").isNull() | (F.col("own") != F.col("b_own"))
     pairs = cut(blocks.withColumnRenamed("block", "a").join(other, "bucket").where((F.col("a") <= F.col("b")) & apart).select("bucket", "a", "b"))
     sides = pairs.withColumn("block", F.col("a")).union(pairs.where("a <> b").withColumn("block", F.col("b")))
     many = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 64)
-    return dealt.drop("own").join(small(sides), ["bucket", "block"]).repartition(many, "bucket", "a", "b")
+    return dealt.drop("own").join(sides, ["bucket", "block"]).repartition(many, "bucket", "a", "b")
 
 
 class _Pairs:
@@ -262,6 +262,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     met = cut(spread.join(small(pivots.select("bucket", "pivot")), "bucket").where("id <> pivot"))
 
     def texts_of(ids: DataFrame) -> DataFrame:
+        tidy(docs.sparkSession)
         wanted = small(cut(classes.select("id", F.col("of.id").alias("_id"), F.col("of.key").alias("key")).join(ids.distinct(), "id")))
         same = d.withColumnRenamed("id", "_id").join(wanted, ["_id", "key"])
         return cut(same.groupBy("id").agg(F.min("text").alias("text")))
@@ -277,15 +278,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     named = met.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
     open_ = cut(named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"))
     if not open_.isEmpty():
-        left = cut(named.join(small(open_), "bucket").join(classes.select("id", "n", "sketch"), "id"))
+        left = cut(named.join(open_, "bucket").join(classes.select("id", "n", "sketch"), "id"))
         near = _blocks(left).groupBy("bucket", "a", "b").applyInArrow(_near(num, den), "bucket long, id long")
         near = cut(near.distinct())
-        tidy(docs.sparkSession)
-        left = left.join(small(near), ["bucket", "id"]).join(texts_of(near.select("id")), "id")
+        left = left.join(near, ["bucket", "id"]).join(texts_of(near.select("id")), "id")
         more = _blocks(cut(left), F.octet_length("text")).groupBy("bucket", "a", "b").applyInArrow(_links(k, num, den), "a long, b long")
         labels = components(cut(edges.union(more)))
-    least = cut(classes.join(labels, "id").groupBy("component").agg(F.min("of.id").alias("least")))
-    member = classes.join(labels.join(small(least), "component"), "id", "left").select("n", "s1", "s2", F.coalesce("least", "of.id").alias("component"))
+    least = classes.join(labels, "id").groupBy("component").agg(F.min("of.id").alias("least"))
+    member = classes.join(labels.join(least, "component"), "id", "left").select("n", "s1", "s2", F.coalesce("least", "of.id").alias("component"))
     of = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return rows.join(member, ["n", "s1", "s2"], "left").select(
         F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), of.alias("component_id"), F.coalesce(of == F.col("id"), F.lit(True)).alias("kept")
