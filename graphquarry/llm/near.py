@@ -163,9 +163,10 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select(F.col("a").alias("id"), F.col("l").alias("component"))
 
 
-def _blocks(rows: DataFrame, size: Column | int = 0) -> DataFrame:
-    """Rows of (bucket, label, id, ...) dealt for tasks: repeated for each pair of blocks (a, b) of their bucket that may hold
-    rows of different labels. A block has about `_BLOCK` rows and `_BLOCK_BYTES` of `size`; `block` is the row's own.
+def _blocks(rows: DataFrame, size: Column | int = 0) -> tuple[DataFrame, int]:
+    """Rows of (bucket, label, id) dealt for tasks: repeated for each pair of blocks (a, b) of their bucket that may hold
+    rows of different labels; and a number of tasks. A block has about `_BLOCK` rows and `_BLOCK_BYTES` of `size`; `block`
+    is the row's own. What else the tasks need is joined to these narrow rows afterwards.
     """
     rows = rows.withColumn("_size", F.lit(0).cast("long") if isinstance(size, int) else size.cast("long"))
     weight = F.greatest(F.count(F.lit(1)) / F.lit(_BLOCK), F.sum("_size") / F.lit(_BLOCK_BYTES))
@@ -175,14 +176,14 @@ def _blocks(rows: DataFrame, size: Column | int = 0) -> DataFrame:
     part = lambda column, n: F.pmod(F.xxhash64(column), F.greatest(n, F.lit(1)).cast("long"))
     own = F.when(F.col("weight") > 1, F.col("label"))
     block = F.when(F.col("weight") > 1, F.concat_ws(":", F.col("label"), part("id", F.ceil("weight")))).otherwise(F.concat_ws(":", F.lit("pool"), part("label", F.col("pools"))))
-    dealt = rows.join(labels, ["bucket", "label"]).withColumn("own", own).withColumn("block", block).drop("weight", "pools", "_size")
+    dealt = rows.join(labels, ["bucket", "label"]).withColumn("own", own).withColumn("block", block).select("bucket", "label", "id", "own", "block")
     blocks = dealt.select("bucket", "block", "own").distinct()
     other = blocks.select("bucket", F.col("block").alias("b"), F.col("own").alias("b_own"))
     apart = F.col("own").isNull() | F.col("b_own").isNull() | (F.col("own") != F.col("b_own"))
     pairs = cut(blocks.withColumnRenamed("block", "a").join(other, "bucket").where((F.col("a") <= F.col("b")) & apart).select("bucket", "a", "b"))
     sides = pairs.withColumn("block", F.col("a")).union(pairs.where("a <> b").withColumn("block", F.col("b")))
     many = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 64)
-    return dealt.drop("own").join(sides, ["bucket", "block"]).repartition(many, "bucket", "a", "b")
+    return dealt.drop("own").join(sides, ["bucket", "block"]), many
 
 
 class _Pairs:
@@ -278,11 +279,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     named = met.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
     open_ = cut(named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"))
     if not open_.isEmpty():
-        left = cut(named.join(open_, "bucket").join(classes.select("id", "n", "sketch"), "id"))
-        near = _blocks(left).groupBy("bucket", "a", "b").applyInArrow(_near(num, den), "bucket long, id long")
-        near = cut(near.distinct())
-        left = left.join(near, ["bucket", "id"]).join(texts_of(near.select("id")), "id")
-        more = _blocks(cut(left), F.octet_length("text")).groupBy("bucket", "a", "b").applyInArrow(_links(k, num, den), "a long, b long")
+        left, sketch = cut(named.join(open_, "bucket")), classes.select("id", "n", "sketch")
+        dealt, many = _blocks(left)
+        tasks = dealt.join(sketch, "id").repartition(many, "bucket", "a", "b").groupBy("bucket", "a", "b")
+        near = cut(tasks.applyInArrow(_near(num, den), "bucket long, id long").distinct())
+        texts = texts_of(near.select("id"))
+        left = cut(left.join(near, ["bucket", "id"]).join(texts.select("id", F.octet_length("text").alias("size")), "id"))
+        dealt, many = _blocks(left, F.col("size"))
+        tasks = dealt.join(sketch, "id").join(texts, "id").repartition(many, "bucket", "a", "b").groupBy("bucket", "a", "b")
+        more = tasks.applyInArrow(_links(k, num, den), "a long, b long")
         labels = components(cut(edges.union(more)))
     least = classes.join(labels, "id").groupBy("component").agg(F.min("of.id").alias("least"))
     member = classes.join(labels.join(least, "component"), "id", "left").select("n", "s1", "s2", F.coalesce("least", "of.id").alias("component"))

@@ -78,7 +78,7 @@ def test_blocks_of_hot_buckets(spark, monkeypatch):
         docs.append((i, " ".join(words)))
     assert rows_of(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
     rows = spark.createDataFrame([(1, 7, i) for i in range(40)] + [(1, 100 + i, 100 + i) for i in range(5)], "bucket long, label long, id long")
-    dealt = near._blocks(rows).collect()
+    dealt = near._blocks(rows)[0].collect()
     tasks = {}
     for r in dealt:
         tasks.setdefault((r.a, r.b), []).append(r)
