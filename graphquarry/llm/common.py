@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 from collections import OrderedDict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,16 +45,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let go of what earlier steps left: unreferenced shuffles, broadcasts and checkpoints, and freed memory of this process."""
-    gc.collect()
-    spark._jvm.System.gc()  # Spark's cleaner learns from the collector what nobody refers to any more
+def give_back() -> None:
+    """Return this process's freed memory to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
+def lean(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`rows`, for mapInArrow, so that a worker, which waits for later tasks, does not keep what this task has freed."""
+
+    def run(batches):
+        yield from rows(batches)
+        give_back()
+
+    return run
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let go of what earlier steps left: unreferenced shuffles, broadcasts and checkpoints, and freed memory of this process."""
+    gc.collect()
+    spark._jvm.System.gc()  # Spark's cleaner learns from the collector what nobody refers to any more
+    give_back()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, lean, small
 from .words import ALNUM, U64, Words, grams, mix, slices, text_buffers
 
 _CHUNK = 4 << 20
@@ -177,7 +177,7 @@ def contamination(
         for batch in batches:
             yield from _sides(batch, k, span, short, False, bitmap)
 
-    d = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(doc_rows, _SIDE)
+    d = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(lean(doc_rows), _SIDE)
     b = small(item_side.select(F.lit(False).alias("base"), "*"), 20_000)
     prefix = lambda x, y: F.expr(  # noqa: E731  length of the common prefix
         f"array_position(transform(sequence(0, least(size({x}), size({y}))), i -> i = least(size({x}), size({y})) or get({x}, i) <> get({y}, i)), true) - 1"
@@ -196,7 +196,7 @@ def contamination(
     )
     return (
         grouped.select("id", "n_words", "copies", "spans", "item_ids")
-        .mapInArrow(_merged, f"{kind}, n_hit long")
+        .mapInArrow(lean(_merged), f"{kind}, n_hit long")
         .withColumn("n_items", F.size("item_ids").cast("long"))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, small, tidy
+from .common import cut, free_name, lean, small, tidy
 from .states import LOW, double_array
 from .words import slices, text_buffers
 
@@ -250,4 +250,4 @@ def identify(
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], names=[*part.schema.names, *results])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{results[0]}` string", f"`{results[1]}` double"])
-    return docs.mapInArrow(predict, schema)
+    return docs.mapInArrow(lean(predict), schema)

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, tidy
+from .common import cut, lean, small, tidy
 from .words import SPACED, U64, Words, grams, mix, slices, text_buffers
 
 #: So near 1 that registers of unrelated sets are seldom equal; two bytes hold them.
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     kind = docs.schema[doc_id].dataType.simpleString()
     # `key` tells apart texts that share an id
     d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("key"))
-    rows = cut(d.mapInArrow(_sketch_rows(k), f"id {kind}, key long, n long, s1 long, s2 long, sketch binary"))
+    rows = cut(d.mapInArrow(lean(_sketch_rows(k)), f"id {kind}, key long, n long, s1 long, s2 long, sketch binary"))
     classes = rows.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "key")).alias("of"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * ROWS * 2 + 1, ROWS * 2)) for i in range(REGISTERS // ROWS)])
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         pairs = cut(pairs.distinct())
         texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
         joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b")
-        return joined.mapInArrow(_confirm(k, num, den), "a long, b long")
+        return joined.mapInArrow(lean(_confirm(k, num, den)), "a long, b long")
 
     edges = cut(confirmed(met.select(F.col("pivot").alias("a"), F.col("id").alias("b"))))
     labels = components(edges)
