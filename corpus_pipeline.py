@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphquarry.llm.common import cut, free_name, new_folder, small
+from graphquarry.llm.common import cut, free_name, new_folder, small, tidy
 from graphquarry.llm.decontaminate import contamination
 from graphquarry.llm.language import UNDETERMINED, identify
 from graphquarry.llm.mix import mixed
@@ -77,12 +77,22 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col(found.columns[-2]) > 0).drop(row)
 
 
+def _tidied(stage: Stage) -> Stage:
+    """`stage`, begun without what the stages before it left in the driver."""
+
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tidy(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begin
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("language", language),
-    ("near_dedup", near_dedup),
-    ("decontaminate", decontaminate),
-    ("secrets", secrets),
-    ("mixing", mixing),
+    ("language", _tidied(language)),
+    ("near_dedup", _tidied(near_dedup)),
+    ("decontaminate", _tidied(decontaminate)),
+    ("secrets", _tidied(secrets)),
+    ("mixing", _tidied(mixing)),
 ]
 
 #: Language identification and near-duplicate search have no SQL twin; tests/llm/test_pipeline.py compares the rows with plain versions.

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,10 +64,31 @@ def lean(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return run
 
 
+def trim_driver(spark: SparkSession) -> bool:
+    """Return the native memory that the driver's JVM has freed to the system; whether it could (Java before 17.0.9 cannot).
+
+    Every exchange runs in a thread of its own, and what planning and compiling free there stays with that thread.
+    """
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    kinds = gateway.new_array(jvm.java.lang.Class, 4)
+    for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = jvm.java.lang.Class.forName(name)
+    # the server's own class is not open to callers, its interface is
+    invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds)
+    given = gateway.new_array(jvm.java.lang.Object, 4)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def tidy(spark: SparkSession) -> None:
-    """Let go of what earlier steps left: unreferenced shuffles, broadcasts and checkpoints, and freed memory of this process."""
+    """Let go of what earlier steps left: unreferenced shuffles, broadcasts and checkpoints, and freed memory of the driver."""
     gc.collect()
     spark._jvm.System.gc()  # Spark's cleaner learns from the collector what nobody refers to any more
+    trim_driver(spark)
     give_back()
 
 

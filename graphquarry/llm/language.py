@@ -21,6 +21,8 @@ differ from those of the columns. The language is read in training only.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, free_name, lean, small, tidy
-from .states import LOW, double_array
+from .states import LOW, Edges, double_array
 from .words import slices, text_buffers
 
 CHUNK = 1024
@@ -41,28 +43,25 @@ def letters(column: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_lower(column.fill_null("")), pattern=r"[^\p{L}\p{M}]+", replacement=" ")
 
 
-def automaton(codes: list[int]) -> list[dict[int, int]]:
+def automaton(codes: list[int]) -> Edges:
     """Edges (code to state) of the suffix automaton of a sequence of codes; state 0 is the root and no target."""
-    step: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
+    step, link, length = Edges(), array("i", [-1]), array("i", [0])
+    last = step.new()
     for c in codes:
-        new = len(step)
-        step.append({})
+        new = step.new()
         link.append(0)
         length.append(length[last] + 1)
         at = last
-        while at >= 0 and c not in step[at]:
-            step[at][c] = new
+        while at >= 0 and not (target := step.get(at, c)):
+            step.put(at, c, new)
             at = link[at]
         if at >= 0:
-            target = step[at][c]
             if length[target] != length[at] + 1:
-                copy = len(step)
-                step.append(dict(step[target]))
+                copy = step.copy(target)
                 link.append(link[target])
                 length.append(length[at] + 1)
-                while at >= 0 and step[at].get(c) == target:
-                    step[at][c] = copy
+                while at >= 0 and step.get(at, c) == target:
+                    step.put(at, c, copy)
                     at = link[at]
                 link[target] = copy
                 target = copy

@@ -158,8 +158,9 @@ def components(edges: DataFrame) -> DataFrame:
         jumped = stepped.join(labels.select(F.col("a").alias("m"), F.col("l").alias("far")), "m", "left")
         moved = cut(jumped.select("a", F.least("m", F.coalesce("far", "m")).alias("l"), (F.least("m", F.coalesce("far", "m")) < F.col("l")).alias("moved")))
         labels = moved.select("a", "l")
-        if moved.where("moved").isEmpty():
-            tidy(edges.sparkSession)
+        done = moved.where("moved").isEmpty()
+        tidy(edges.sparkSession)
+        if done:
             return labels.select(F.col("a").alias("id"), F.col("l").alias("component"))
 
 

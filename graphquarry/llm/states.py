@@ -7,13 +7,65 @@ from 0 to width - 1. Two states never share a base, and every slot that a lookup
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 
 _TRIES = 64
 LOW = (1 << 32) - 1
+_NONE, _SEVERAL = -1, -2
+
+
+class Edges(Sequence):
+    """The edges (code to state) of each state of a machine that is being built; state 0 is no target.
+
+    Most states of large machines have one edge, which takes eight bytes here; only the others have a dictionary.
+    """
+
+    def __init__(self):
+        self.only, self.more = array("q"), {}
+
+    def __len__(self) -> int:
+        return len(self.only)
+
+    def __getitem__(self, state: int) -> dict[int, int]:
+        edge = self.only[state]
+        return {edge >> 32: edge & LOW} if edge >= 0 else self.more[state] if edge == _SEVERAL else {}
+
+    def __iter__(self) -> Iterator[dict[int, int]]:
+        return map(self.__getitem__, range(len(self.only)))
+
+    def new(self) -> int:
+        self.only.append(_NONE)
+        return len(self.only) - 1
+
+    def copy(self, state: int) -> int:
+        """A new state with the edges of another."""
+        self.only.append(self.only[state])
+        if state in self.more:
+            self.more[len(self.only) - 1] = dict(self.more[state])
+        return len(self.only) - 1
+
+    def get(self, state: int, code: int) -> int:
+        """Where an edge leads, 0 if there is none."""
+        edge = self.only[state]
+        if edge >= 0:
+            return edge & LOW if edge >> 32 == code else 0
+        return self.more[state].get(code, 0) if edge == _SEVERAL else 0
+
+    def put(self, state: int, code: int, target: int) -> None:
+        edge = self.only[state]
+        if edge == _SEVERAL:
+            self.more[state][code] = target
+        elif edge == _NONE or edge >> 32 == code:
+            self.only[state] = code << 32 | target
+        else:
+            self.more[state] = {edge >> 32: edge & LOW, code: target}
+            self.only[state] = _SEVERAL
 
 
-def double_array(edges: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+def double_array(edges: Sequence[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(slots, base of each state) of a machine; state 0 has base 0. An empty slot holds -1."""
     many = sorted((s for s in range(1, len(edges)) if len(edges[s]) > 1), key=lambda s: -len(edges[s]))
     room = sum(map(len, edges)) + width * (len(many) + 2) + len(edges)
@@ -58,9 +110,8 @@ def double_array(edges: list[dict[int, int]], width: int) -> tuple[np.ndarray, n
             at = named.find(0, at)
             base[s], named[at] = at, 1
     slots = np.full(int(base.max(initial=0)) + width + 1, -1, np.int64)
-    places = [base[s] + c for s in range(len(edges)) for c in edges[s]]
-    if places:
-        owner = np.repeat(base, [len(e) for e in edges])
-        target = base[[t for e in edges for t in e.values()]]
-        slots[np.array(places)] = (owner << 32) | target
+    owner = np.repeat(base, np.fromiter(map(len, edges), np.int64, len(edges)))
+    codes = np.fromiter((c for e in edges for c in e), np.int64, len(owner))
+    target = base[np.fromiter((t for e in edges for t in e.values()), np.int64, len(owner))]
+    slots[owner + codes] = (owner << 32) | target
     return slots, base

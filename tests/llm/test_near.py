@@ -191,3 +191,50 @@ def test_language_sample_is_of_whole_texts(spark):
 @pytest.mark.parametrize("name", ["op3_benchmark_decontamination", "op7_near_dedup", "op8_embedding_dedup", "op10_secret_scan"])
 def test_sql(same_as_sql, name):
     same_as_sql(name)
+
+
+def test_model_of_a_large_sample_takes_little_memory():
+    import random
+    import tracemalloc
+
+    import numpy as np
+
+    from graphquarry.llm.language import Model
+
+    rng = random.Random(3)
+    sample = " ".join(f"{rng.choice('abcdefgh') * 2}{rng.randrange(10**4):x}" for _ in range(6000)).encode()
+    tracemalloc.start()
+    model = Model({"x": sample})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 * len(sample)
+    assert model.phrases(np.frombuffer(sample, np.uint8), np.array([0, len(sample)])).tolist() == [[1]]
+
+
+def test_automaton_has_the_substrings_alone():
+    import random
+
+    from graphquarry.llm.language import automaton
+
+    rng = random.Random(5)
+    for n in (0, 1, 2, 30, 60):
+        codes = [rng.randrange(1, 4) for _ in range(n)]
+        edges = automaton(codes)
+        found, todo = set(), [((), 0)]
+        while todo:
+            word, state = todo.pop()
+            found.add(word)
+            todo += [((*word, c), t) for c, t in edges[state].items()]
+            assert all(edges.get(state, c) == edges[state].get(c, 0) for c in range(4))
+        assert found == {tuple(codes[i:j]) for i in range(n + 1) for j in range(i, n + 1)}
+
+
+def test_tidy_trims_the_driver(spark, monkeypatch):
+    from graphquarry.llm import common
+
+    version = spark._jvm.java.lang.Runtime.version()
+    assert common.trim_driver(spark) or (version.feature(), version.update()) < (17, 9)
+    done = []
+    monkeypatch.setattr(common, "trim_driver", done.append)
+    common.tidy(spark)
+    assert done == [spark]
