@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mapped, mapped_folder, save
+from .common import cut, mapped, mapped_folder, save, tidy
 from .words import SPACED, U64, Words, mix, slices, text_buffers
 
 BEGIN, END = U64(0x0123456789ABCDEF), U64(0xFEDCBA9876543210)
 SHARD_ROWS = 1 << 21
 SHARD_BYTES = 12 << 20
 VOLUME_BITS = 13  # at most
-_WIDE = (1 << 16) - 1  # counts from here on stand in a list of their own
+_WIDE = (1 << 8) - 1  # counts from here on stand in a list of their own
 _HELD = 1 << 21
 _CHUNK = 2 << 20
 _SENT = 8 << 20  # bytes of packed shards that leave a worker at once
@@ -65,6 +65,10 @@ def _pair(previous, token):
     return previous * _CONTEXT + token
 
 
+def _token(key, previous):
+    return key - previous * _CONTEXT
+
+
 def _merge(held):
     """One (keys, contexts, counts) of many, which are let go; keys sorted, each once."""
     columns = [list(x) for x in zip(*held)]
@@ -96,7 +100,7 @@ def _unsqueezed(data: bytes, width: int) -> np.ndarray:
 
 
 def _packed(held, bits: int):
-    """A row for each shard: keys, the distinct contexts, the context of each key, counts; some rows at a time."""
+    """A row for each shard, some at a time: the distinct contexts and tokens, how many bigrams each context has, and of each bigram the token and count."""
     key, previous, n = _merge(held)
     shard = (key >> U64(64 - bits)).astype(np.int32) if bits else np.zeros(len(key), np.int32)
     starts = np.flatnonzero(np.diff(shard, prepend=-1))
@@ -104,10 +108,12 @@ def _packed(held, bits: int):
     send = lambda: pa.RecordBatch.from_pylist([dict(zip(_PACK.names, r)) for r in rows], schema=_PACK)
     for a, b in zip(starts, [*starts[1:], len(key)]):
         contexts, of = np.unique(previous[a:b], return_inverse=True)
-        of, counts = _narrow(of), _narrow(n[a:b])
-        # the shard's own bits are left out, so that the first difference is no longer than the others
-        rest = key[a:b] & U64((1 << (64 - bits)) - 1)
-        rows.append((int(shard[a]), *_squeezed(rest), *_squeezed(contexts), of.tobytes(), of.itemsize, counts.tobytes(), counts.itemsize))
+        tokens, which = np.unique(_token(key[a:b], previous[a:b]), return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        row = [int(shard[a]), *_squeezed(contexts), *_squeezed(tokens)]
+        for values in map(_narrow, (np.bincount(of), which[order], n[a:b][order])):
+            row += values.tobytes(), values.itemsize
+        rows.append(row)
         size += 16 * int(b - a)
         if size >= _SENT:
             yield send()
@@ -116,10 +122,9 @@ def _packed(held, bits: int):
         yield send()
 
 
-_PACK = pa.schema(
-    [("shard", pa.int32()), ("keys", pa.binary()), ("keys_width", pa.int32()), ("contexts", pa.binary()), ("contexts_width", pa.int32()), ("of", pa.binary()), ("of_width", pa.int32()), ("n", pa.binary()), ("n_width", pa.int32())]
-)
-_PACKED = "shard int, keys binary, keys_width int, contexts binary, contexts_width int, of binary, of_width int, n binary, n_width int"
+_FIELDS = ("contexts", "tokens", "runs", "which", "n")
+_PACK = pa.schema([("shard", pa.int32()), *[x for f in _FIELDS for x in ((f, pa.binary()), (f"{f}_width", pa.int32()))]])
+_PACKED = "shard int, " + ", ".join(f"{f} binary, {f}_width int" for f in _FIELDS)
 
 
 def _count(bits: int):
@@ -150,7 +155,7 @@ class _Volume:
 
     def append(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.files["keys"].write(keys.tobytes())
-        self.files["counts"].write(np.minimum(counts, _WIDE).astype(np.uint16).tobytes())
+        self.files["counts"].write(np.minimum(counts, _WIDE).astype(np.uint8).tobytes())
         at = np.flatnonzero(counts >= _WIDE)
         self.wide.append((at + self.rows, counts[at]))
         self.rows += len(keys)
@@ -167,7 +172,7 @@ def _add_up(folder: str, bits: int, volume_bits: int):
 
     def sums(key, previous, n):
         for of, masks in (
-            (key - previous * _CONTEXT, {"c": n, "cont": np.ones_like(n)}),
+            (_token(key, previous), {"c": n, "cont": np.ones_like(n)}),
             (previous, {"total": n, "n1": n == 1, "n2": n == 2, "n3": n >= 3, "x3": n == 3, "x4": n == 4}),
         ):
             order = np.argsort(of, kind="stable")
@@ -198,10 +203,11 @@ def _add_up(folder: str, bits: int, volume_bits: int):
                             volume.close()
                         volume = _Volume(folder, shard >> (bits - volume_bits))
                     at = shard
-                keys = _unsqueezed(get("keys"), get("keys_width")) + U64((at << (64 - bits)) if bits else 0)
-                contexts = _unsqueezed(get("contexts"), get("contexts_width"))
-                of, n = (np.frombuffer(get(x), f"u{get(x + '_width')}") for x in ("of", "n"))
-                held.append((keys, contexts[of], n.astype(np.int64)))
+                contexts, tokens = (_unsqueezed(get(x), get(f"{x}_width")) for x in _FIELDS[:2])
+                runs, which, n = (np.frombuffer(get(x), f"u{get(f'{x}_width')}") for x in _FIELDS[2:])
+                previous = np.repeat(contexts, runs)
+                keys = _pair(previous, tokens[which])
+                held.append((keys, previous, n.astype(np.int64)))
                 size += len(keys)
                 if size > _HELD:
                     held = [_merge(held)]
@@ -265,7 +271,7 @@ def _find_pairs(folder: str, bits: int, wanted: np.ndarray) -> np.ndarray:
         keys = mapped(f"{folder}/pairs-{number}.keys", U64)
         if keys is not None:
             hit, at = _at(keys, wanted[a:b])
-            found = mapped(f"{folder}/pairs-{number}.counts", np.uint16)[at].astype(np.int64)
+            found = mapped(f"{folder}/pairs-{number}.counts", np.uint8)[at].astype(np.int64)
             wide = np.flatnonzero(found == _WIDE)
             if len(wide):
                 places, counts = mapped(f"{folder}/pairs-{number}.wide.npy")
@@ -298,6 +304,7 @@ def score(docs: DataFrame, learn: DataFrame, *, doc_id: str = "doc_id", text: st
     dealt = packed.withColumn("volume", F.shiftright("shard", bits - volume_bits)).repartition(2 << volume_bits, "volume").sortWithinPartitions("shard").drop("volume")
     sums = dealt.mapInArrow(_add_up(folder, bits, volume_bits), ", ".join(f"{x} long" for x in _SUMS))
     words = cut(sums.groupBy("hash").agg(*[F.sum(x).alias(x) for x in _SUMS[1:]]))
+    tidy(spark)  # the packed bigrams and sums, most of the disk that is used, have been read
     all_of = words.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("n1", "n2", "x3", "x4", "c")], F.count(F.lit(1))).first()
     two, total, one = list(all_of[:4]), all_of[4], _of_counts(words.where("c > 0"), "cont")
     word_bits = _write(words.select(*_WORDS), "hash", _WORDS, folder, "words", all_of[5])

@@ -236,3 +236,21 @@ def test_reply_trees_take_the_best_branch(spark):
     two = {(r.conv, r["rank"]): r.formatted for r in conversations(df, branches=2).collect()}
     assert two["a", 2] == "<s>user\nt1</s><s>user\nt3</s><s>user\nt5</s>"
     assert conversations(df.limit(0)).count() == 0
+
+
+def test_packed_bigrams_are_short_and_come_back(spark, sf_dir, tmp_path):
+    import pyarrow as pa
+
+    from graphquarry.llm import perplexity
+
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    bits = 2
+    packed = list(perplexity._count(bits)([pa.record_batch([pa.array(texts)], names=["text"])]))
+    pairs = Counter(p for t in texts for p in zip(["<b>", *tokens(t)], tokens(t)))
+    assert sum(b.nbytes for b in packed) < 13 * len(pairs)
+    rows = pa.Table.from_batches(packed).sort_by("shard")
+    sums = pa.Table.from_batches(list(perplexity._add_up(str(tmp_path), bits, bits)(rows.to_batches())))
+    assert sum(sums["c"].to_pylist()) == sum(sums["total"].to_pylist()) == sum(pairs.values())
+    keys = [np.fromfile(f"{tmp_path}/pairs-{i}.keys", np.uint64) for i in range(1 << bits)]
+    assert sum(map(len, keys)) == len(pairs)
+    assert sorted(perplexity._find_pairs(str(tmp_path), bits, np.sort(np.concatenate(keys))).tolist()) == sorted(pairs.values())
